@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +33,7 @@ def tune(spark: SparkSession) -> None:
     for key in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled", "spark.sql.adaptive.forceOptimizeSkewedJoin"):
         spark.conf.set(key, "true")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +55,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to Python workers, once a session, unless PYTHONPATH already leads them to it."""
+    root = Path(__file__).resolve().parent.parent
+    context = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_ledgerloom_sent", False):
+        return
+    packed = Path(tempfile.mkdtemp(prefix="ledgerloom-")) / "ledgerloom.zip"
+    with zipfile.ZipFile(packed, "w") as out:
+        for source in sorted((root / "ledgerloom").rglob("*.py")):
+            out.write(source, source.relative_to(root))
+    context.addPyFile(str(packed))
+    context._ledgerloom_sent = True
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that df doesn't have, for helper columns beside a caller's own."""
     taken = {c.lower() for c in df.columns}
