@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import components, packing
+from ledgerloom.llm import components, leakage, packing
 from ledgerloom.session import table, tune
 
 #: Where the public tokenizers lie.
@@ -28,7 +28,13 @@ def p8_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sized.select("doc_id", "source", "n_tokens"), "doc_id", "source", "n_tokens").withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p8_pack)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the evaluation items that they leak."""
+    tune(spark)
+    return leakage.leaks(leakage.shared_passages(table(spark, d, "documents"), table(spark, d, "eval_items")))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p8_pack, p9_found)}
 SQL = {
     "p5_found": """WITH RECURSIVE e AS (SELECT DISTINCT a, b FROM (
         SELECT left_record_id AS a, right_record_id AS b FROM links WHERE lower(trim(decision, E' \\t\\n\\r')) = 'accepted' AND left_record_id <> right_record_id AND left_record_id <> '' AND right_record_id <> ''
