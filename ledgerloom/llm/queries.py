@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import components, leakage, packing
+from ledgerloom.llm import components, leakage, packing, sentences
 from ledgerloom.session import table, tune
 
 #: Where the public tokenizers lie.
@@ -34,7 +34,14 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(leakage.shared_passages(table(spark, d, "documents"), table(spark, d, "eval_items")))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p8_pack, p9_found)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """The last character of every sentence, headline and advert sentence of all documents."""
+    tune(spark)
+    documents = table(spark, d, "documents")
+    return sentences.sentence_ends(documents, sentences.train(documents))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p8_pack, p9_found, p10_found)}
 SQL = {
     "p5_found": """WITH RECURSIVE e AS (SELECT DISTINCT a, b FROM (
         SELECT left_record_id AS a, right_record_id AS b FROM links WHERE lower(trim(decision, E' \\t\\n\\r')) = 'accepted' AND left_record_id <> right_record_id AND left_record_id <> '' AND right_record_id <> ''
