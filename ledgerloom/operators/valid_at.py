@@ -72,8 +72,9 @@ def dyadic_nodes(first: Column, last: Column, levels: int) -> Column:
 def time_cells(intervals: DataFrame, keys: Sequence[str], start_us: int, end_us: int, levels: int = LEVELS) -> DataFrame:
     """Intervals as rows of (entity, node), with the time before an entity's first interval as one whose best is null.
 
-    Every instant of an entity thus lies in exactly one interval. start_us..end_us is the span of the axis, which matters for
-    speed only.
+    Every instant of an entity thus lies in exactly one interval. The two that are open to one side, at most two of an entity,
+    stand at the root of the tree, which covers them with one node instead of many; those between are decomposed. start_us..end_us
+    is the span of the axis, which matters for speed only.
     """
     unit = max(1, -(-(end_us - start_us) // (1 << levels)))
     early = intervals.groupBy(*keys).agg(F.min("valid_from").alias("valid_to"))
@@ -82,7 +83,10 @@ def time_cells(intervals: DataFrame, keys: Sequence[str], start_us: int, end_us:
     total = intervals.select(*keys, "valid_from", "valid_to", "best").unionByName(early)
     first = _unit(F.col("valid_from"), start_us, unit, levels)
     last = _unit(F.col("valid_to") - 1, start_us, unit, levels)
-    out = total.withColumns({"first": first, "last": last}).withColumn("node", F.explode(dyadic_nodes(F.col("first"), F.col("last"), levels)))
+    root = F.array(F.struct(F.lit(levels).alias("level"), F.lit(0).alias("idx")))
+    between = (F.col("valid_from") > -NEVER) & (F.col("valid_to") < NEVER)
+    nodes = F.when(between, dyadic_nodes(F.col("first"), F.col("last"), levels)).otherwise(root)
+    out = total.withColumns({"first": first, "last": last}).withColumn("node", F.explode(nodes))
     return out.select(*keys, "valid_from", "valid_to", "best", F.col("node.level").alias("level"), F.xxhash64(*keys, "node.level", "node.idx").alias("cell"))
 
 
@@ -92,14 +96,14 @@ def level_masks(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def as_known(points: DataFrame, at_us: str, mask: str, cells: DataFrame, keys: Sequence[str], start_us: int, end_us: int, levels: int = LEVELS) -> DataFrame:
-    """points with `best` of the interval of their entity that holds at_us, null if nothing was known then.
+    """points without their mask, with `best` of the interval of their entity that holds at_us, null if nothing was known then.
 
     points have the entity's keys and its level mask, null where the entity has no versions at all. The axis must be that of the
     cells. Points whose time or mask is null get null. Points may repeat; none is lost or repeated by the join, since the
     intervals of an entity cover all time and don't overlap.
     """
     unit = max(1, -(-(end_us - start_us) // (1 << levels)))
-    own = [c for c in points.columns if c != "best"]
+    own = [c for c in points.columns if c not in ("best", mask)]
     askable = F.col(at_us).isNotNull() & F.col(mask).isNotNull()
     empty = F.lit(None).cast(cells.schema["best"].dataType)
     nodes = [F.when(F.col(mask).bitwiseAND(1 << n) != 0, F.xxhash64(*keys, F.lit(n), F.shiftright("_ll_unit", n))) for n in range(levels + 1)]

@@ -96,23 +96,25 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Events that saw an older version than the bill's highest, and snapshots that hold what wasn't known at their time."""
     tune(spark)
     bills = _bill_versions(spark, d)
+    # a bill is named by the record of its highest version from here on: one short key instead of three
+    top = bills.groupBy(*BILL_KEYS).agg(F.min(F.struct((-F.col("number")).alias("minus"), "record_id"))["record_id"].alias("top_id"))
+    same = lambda left: [F.col(f"{left}.{k}").eqNullSafe(F.col(f"t.{k}")) for k in BILL_KEYS]
+    versions = bills.alias("b").join(top.alias("t"), same("b")).select("t.top_id", "b.record_id", "b.known_us", "b.number", "b.payer_token", "b.amount")
     rank = F.struct((-F.col("number")).alias("minus"), F.col("record_id").alias("record_id"), F.col("payer_token").alias("payer"), F.col("amount").alias("amount"))
-    intervals = valid_at.best_intervals(bills, BILL_KEYS, "known_us", rank)
+    intervals = valid_at.best_intervals(versions, ["top_id"], "known_us", rank)
     low, high = (int(x or 0) for x in table(spark, d, "bills").agg(F.min(F.unix_micros("available_at")), F.max(F.unix_micros("available_at"))).first())
-    cells = cut(valid_at.time_cells(intervals, BILL_KEYS, low, high + 1))  # read twice: for the masks and for the join
-    top = bills.groupBy(*BILL_KEYS).agg(F.min(F.struct((-F.col("number")).alias("minus"), "record_id"))["record_id"].alias("top_id"))
-    masks = valid_at.level_masks(cells, BILL_KEYS)
-    entities = top.alias("t").join(masks.alias("m"), [F.col(f"t.{k}").eqNullSafe(F.col(f"m.{k}")) for k in BILL_KEYS], "left").select("t.*", "m.mask")
-    of_record = bills.select("record_id", *BILL_KEYS).alias("b").join(entities.alias("e"), [F.col(f"b.{k}").eqNullSafe(F.col(f"e.{k}")) for k in BILL_KEYS]).select("b.*", "e.top_id", "e.mask")
+    cells = cut(valid_at.time_cells(intervals, ["top_id"], low, high + 1))  # read twice: for the masks and for the join
+    masks = valid_at.level_masks(cells, ["top_id"])
+    of_record = versions.select("record_id", "top_id").join(masks, "top_id", "left")
 
     events = table(spark, d, "billing_events").select("event_id", "bill_record_id", F.unix_micros("available_at").alias("at_us")).distinct()
     events = events.join(of_record.withColumnRenamed("record_id", "bill_record_id"), "bill_record_id")
     snaps = table(spark, d, "snapshots").select("snapshot_id", *BILL_KEYS, F.unix_micros("t").alias("at_us"), F.unix_micros("max_input_available_at").alias("input_us"), "payer_token", "billed_amount_minor")
-    snaps = snaps.alias("s").join(entities.alias("e"), [F.col(f"s.{k}").eqNullSafe(F.col(f"e.{k}")) for k in BILL_KEYS], "left").select("s.*", "e.mask", "e.top_id")
+    snaps = snaps.alias("s").join(top.alias("t"), same("s"), "left").select("s.*", "t.top_id").join(masks, "top_id", "left")
 
-    points = events.select(F.lit("event").alias("record_kind"), F.col("event_id").alias("row_key"), *BILL_KEYS, "mask", "at_us", "top_id", F.lit(None).cast("long").alias("input_us"), F.lit(None).cast("string").alias("payer_token"), F.lit(None).cast("long").alias("billed_amount_minor"))
-    points = points.unionByName(snaps.select(F.lit("snapshot").alias("record_kind"), F.col("snapshot_id").alias("row_key"), *BILL_KEYS, "mask", "at_us", "top_id", "input_us", "payer_token", "billed_amount_minor"))
-    known = valid_at.as_known(points, "at_us", "mask", cells, BILL_KEYS, low, high + 1)
+    points = events.select(F.lit("event").alias("record_kind"), F.col("event_id").alias("row_key"), "mask", "at_us", "top_id", F.lit(None).cast("long").alias("input_us"), F.lit(None).cast("string").alias("payer_token"), F.lit(None).cast("long").alias("billed_amount_minor"))
+    points = points.unionByName(snaps.select(F.lit("snapshot").alias("record_kind"), F.col("snapshot_id").alias("row_key"), "mask", "at_us", "top_id", "input_us", "payer_token", "billed_amount_minor"))
+    known = valid_at.as_known(points, "at_us", "mask", cells, ["top_id"], low, high + 1)
     seen = F.coalesce("best.record_id", F.lit(""))
     stale = (F.col("record_kind") == "event") & (seen != F.col("top_id"))
     later = F.coalesce(F.col("input_us") > F.col("at_us"), F.lit(False))
