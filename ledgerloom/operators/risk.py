@@ -61,16 +61,16 @@ def fit_multinomial(rows: DataFrame, features: list[str], label: str = "label",
     moments = rows.agg(*[f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in features for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
 
     def prepare(df: DataFrame) -> DataFrame:
-        scaled = df.select("*", *[((F.col(c) - F.lit(moments[f"m_{c}"])) / F.lit(moments[f"s_{c}"] or 1.0)).alias(f"_ll_{c}") for c in features])
-        return VectorAssembler(inputCols=[f"_ll_{c}" for c in features], outputCol="_ll_x", handleInvalid="keep").transform(scaled).drop(*[f"_ll_{c}" for c in features])
+        scaled = df.select("*", *[((F.col(c) - F.lit(moments[f"m_{c}"])) / F.lit(moments[f"s_{c}"] or 1.0)).alias(f"_ll_f_{c}") for c in features])
+        return VectorAssembler(inputCols=[f"_ll_f_{c}" for c in features], outputCol="_ll_vector", handleInvalid="keep").transform(scaled).drop(*[f"_ll_f_{c}" for c in features])
 
     index = F.when(F.col(label) == "payment", 1.0).when(F.col(label) == "close_no_payment", 2.0).otherwise(0.0)
-    model = LogisticRegression(featuresCol="_ll_x", labelCol="_ll_y", family="multinomial", regParam=1.0 / sum(support.values()), elasticNetParam=0.0, standardization=False, maxIter=500, probabilityCol="_ll_p", rawPredictionCol="_ll_raw", predictionCol="_ll_hat").fit(prepare(rows).withColumn("_ll_y", index))
+    model = LogisticRegression(featuresCol="_ll_vector", labelCol="_ll_y", family="multinomial", regParam=1.0 / sum(support.values()), elasticNetParam=0.0, standardization=False, maxIter=500, probabilityCol="_ll_p", rawPredictionCol="_ll_raw", predictionCol="_ll_hat").fit(prepare(rows).withColumn("_ll_y", index))
 
     def predict(df: DataFrame) -> DataFrame:
         from pyspark.ml.functions import vector_to_array
 
         p = vector_to_array("_ll_p")
-        return model.transform(prepare(df)).withColumns({"p_none": p[0], "p_payment": p[1], "p_close": p[2]}).drop("_ll_x", "_ll_p", "_ll_raw", "_ll_hat")
+        return model.transform(prepare(df)).withColumns({"p_none": p[0], "p_payment": p[1], "p_close": p[2]}).drop("_ll_vector", "_ll_p", "_ll_raw", "_ll_hat")
 
     return predict
