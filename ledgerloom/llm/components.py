@@ -18,12 +18,24 @@ def accepted(decision: Column) -> Column:
     return F.lower(F.regexp_replace(decision, r"^[\s ]+|[\s ]+$", "")) == "accepted"
 
 
-def _jump(labels: DataFrame) -> DataFrame:
-    """node -> root, by doubling pointers. Only pointers to nodes that point on themselves can move."""
+#: A table of counted size up to this is broadcast; one of an eighth of it is kept in one partition.
+SMALL_ROWS = 200_000
+
+
+def _side(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= SMALL_ROWS else df
+
+
+def _kept(df: DataFrame, rows: int) -> DataFrame:
+    return cut(df.coalesce(1) if rows <= SMALL_ROWS // 8 else df)
+
+
+def _jump(labels: DataFrame, rows: int) -> DataFrame:
+    """node -> root, by doubling pointers; labels has at most `rows` rows. Only pointers to nodes that don't point on themselves move."""
     while True:
         on = labels.select(F.col("node").alias("_ll_via"), F.col("label").alias("_ll_next")).where("_ll_via <> _ll_next")
-        moved = labels.join(on, F.col("label") == F.col("_ll_via"), "left")
-        labels = cut(moved.select("node", F.coalesce("_ll_next", "label").alias("label"), F.col("_ll_next").isNotNull().alias("moved")))
+        moved = labels.join(_side(on, rows), F.col("label") == F.col("_ll_via"), "left")
+        labels = _kept(moved.select("node", F.coalesce("_ll_next", "label").alias("label"), F.col("_ll_next").isNotNull().alias("moved")), rows)
         if labels.where("moved").isEmpty():
             return labels.select("node", "label")
 
@@ -37,13 +49,13 @@ def groups(pairs: DataFrame, left: str, right: str) -> DataFrame:
     ends = pairs.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a <> '' and b <> '' and a <> b")
     edges = cut(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     rounds: list[DataFrame] = []
-    while not edges.isEmpty():
+    while n := edges.count():
         both = edges.select(F.col("a").alias("node"), F.col("a").alias("label")).union(edges.select(F.col("b").alias("node"), F.col("a").alias("label")))
-        labels = _jump(cut(both.groupBy("node").agg(F.min("label").alias("label"))))
+        labels = _jump(_kept(both.groupBy("node").agg(F.min("label").alias("label")), 2 * n), 2 * n)
         rounds.append(labels)
         to_a, to_b = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-        moved = edges.join(to_a, "a").join(to_b, "b").where("la <> lb")
-        edges = cut(moved.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
+        moved = edges.join(_side(to_a, 2 * n), "a").join(_side(to_b, 2 * n), "b").where("la <> lb")
+        edges = _kept(moved.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), n)
     if not rounds:
         return ends.select(F.col("a").alias("node"), F.col("a").alias("group")).limit(0)
     out = rounds[-1]

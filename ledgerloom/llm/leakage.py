@@ -219,13 +219,25 @@ def mark(found: list[tuple[int, int, int, int]], least: int, length: int) -> lis
     return marked
 
 
+def _within(tile: tuple[int, int, int, int], marks: list[int]) -> tuple[int, int, int, int]:
+    """A tile without the few letters by which it reaches, by chance, into the segment before or after."""
+    d0, d1, i0, i1 = tile
+    start, stop = marks[bisect_right(marks, d0)], marks[bisect_right(marks, d1 - 1) - 1]
+    if d1 - d0 > 4 * EDGE:
+        if start - d0 <= EDGE and marks[bisect_right(marks, d0) - 1] < d0:
+            d0, i0 = start, i0 + (start - d0)
+        if d1 - stop <= EDGE and stop > d0:
+            d1, i1 = stop, i1 - (d1 - stop)
+    return d0, d1, i0, i1
+
+
 def chains(tiles: list[tuple[int, int, int, int]], page: Page, item: Item) -> tuple[int, int, int, list[int]]:
     """(item start, item end, letters under tiles, tiles) of the chain that spans most of the item.
 
     Two tiles are linked if the item goes on where the first ends, and the page either goes on too, or turns from the end of one
     segment to the start of another: a few segments further on, or, where both tiles are long, anywhere (columns in wrong order).
     """
-    tiles = sorted(tiles, key=lambda m: (m[2], m[3]))
+    tiles = sorted((_within(t, page.segments) for t in tiles), key=lambda m: (m[2], m[3]))
     marks, long_tile = page.segments, 8 if item.unspaced else 24
     spots = []
     for d0, d1, _, _ in tiles:
