@@ -207,6 +207,8 @@ def _mark(text: str, words: str, segments: list[Segment], k: int, m: re.Match, s
     prev = before[-24:]
     tail = prev[-1:]
     if mark not in PLAIN_ENDS:
+        if eol and here[:2] in ("..", "·.", ".·") or here[:1] == "…":
+            return None
         if plain and not eol and not comma and script in ("lat", "cyr") and (here[:1].islower() or here[:1].isdigit()):
             return None
         if tail.isdigit() and here[:1].isdigit() and glued and not eol:
@@ -277,7 +279,11 @@ def _mark(text: str, words: str, segments: list[Segment], k: int, m: re.Match, s
     if cased:
         if group == "." and (ordinal or brief):
             c.label = 0
-        elif group == "." and eol and (s.short or size >= 5) and pc != "d":
+        elif group == "." and size == 1 and pc == "U" and nc in ("U", ""):
+            c.label = 0
+        elif group == "." and eol and (s.short or (size >= 5 and pc != "d")) and (nc in ("l", "") or first):
+            c.label = 1
+        elif group == "." and followers and nextish and pc == "d" and nc == "U":
             c.label = 1
         elif nextish and nc in ("l", "d") and not (group == "s" and not closers):
             c.label = 0
