@@ -8,7 +8,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+from pyspark.sql.classic.dataframe import DataFrame
 
 #: Settings that let a plan adapt to skew and size at run time.
 DEFAULTS = {
@@ -50,9 +51,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute df now and keep it in the shared folder, so that its lineage ends here and a lost executor costs nothing."""
+    """Compute df now and keep it in the shared folder, so that its lineage ends here and a lost executor costs nothing.
+
+    A checkpoint also keeps the optimiser's guess of df's size, and guesses multiply at every join: over rounds of a loop they
+    grow to numbers of millions of digits. The result is therefore made anew from the stored rows, without a guess.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    spark = df.sparkSession
+    rows = kept._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
 
 
 def ship(spark: SparkSession) -> None:
