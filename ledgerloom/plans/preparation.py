@@ -88,8 +88,7 @@ BILL_KEYS = ("org_token", "source_system", "bill_id")
 def _bill_versions(spark: SparkSession, d: str) -> DataFrame:
     number = F.regexp_extract("version_id", r"(\d+)", 1).try_cast("long")
     amount = F.when(F.col("billed_amount_minor").rlike(r"\A[0-9]{1,18}\z"), F.col("billed_amount_minor").try_cast("long"))
-    rows = table(spark, d, "bills").select(*BILL_KEYS, "record_id", F.unix_micros("available_at").alias("known_us"), F.coalesce(number, F.lit(-1)).alias("number"), "payer_token", amount.alias("amount"))
-    return rows.groupBy("record_id").agg(*[F.min(c).alias(c) for c in rows.columns if c != "record_id"])
+    return table(spark, d, "bills").select(*BILL_KEYS, "record_id", F.unix_micros("available_at").alias("known_us"), F.coalesce(number, F.lit(-1)).alias("number"), "payer_token", amount.alias("amount"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -105,12 +104,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     low, high = (int(x or 0) for x in table(spark, d, "bills").agg(F.min(F.unix_micros("available_at")), F.max(F.unix_micros("available_at"))).first())
     cells = cut(valid_at.time_cells(intervals, ["top_id"], low, high + 1))  # read twice: for the masks and for the join
     masks = valid_at.level_masks(cells, ["top_id"])
-    of_record = versions.select("record_id", "top_id").join(masks, "top_id", "left")
+    entities = top.join(masks, "top_id", "left")
+    of_record = bills.select("record_id", *BILL_KEYS).alias("b").join(entities.alias("t"), same("b")).groupBy("b.record_id").agg(F.min("t.top_id").alias("top_id"), F.min("t.mask").alias("mask"))
 
-    events = table(spark, d, "billing_events").select("event_id", "bill_record_id", F.unix_micros("available_at").alias("at_us")).distinct()
+    events = table(spark, d, "billing_events").select("event_id", "bill_record_id", F.unix_micros("available_at").alias("at_us"))
     events = events.join(of_record.withColumnRenamed("record_id", "bill_record_id"), "bill_record_id")
     snaps = table(spark, d, "snapshots").select("snapshot_id", *BILL_KEYS, F.unix_micros("t").alias("at_us"), F.unix_micros("max_input_available_at").alias("input_us"), "payer_token", "billed_amount_minor")
-    snaps = snaps.alias("s").join(top.alias("t"), same("s"), "left").select("s.*", "t.top_id").join(masks, "top_id", "left")
+    snaps = snaps.alias("s").join(entities.alias("t"), same("s"), "left").select("s.*", "t.top_id", "t.mask")
 
     points = events.select(F.lit("event").alias("record_kind"), F.col("event_id").alias("row_key"), "mask", "at_us", "top_id", F.lit(None).cast("long").alias("input_us"), F.lit(None).cast("string").alias("payer_token"), F.lit(None).cast("long").alias("billed_amount_minor"))
     points = points.unionByName(snaps.select(F.lit("snapshot").alias("record_kind"), F.col("snapshot_id").alias("row_key"), "mask", "at_us", "top_id", "input_us", "payer_token", "billed_amount_minor"))
