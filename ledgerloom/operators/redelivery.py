@@ -25,17 +25,19 @@ def rank_copies(df: DataFrame, key: str, order: Sequence[str], shares: int = SHA
     """(kept, dropped): kept has one row per identifier, the first by `order` (nulls first); dropped all other rows.
 
     Rows without identifier (null or '') can't be copies of anything and are kept. Rows that tie in every order column are told
-    apart by chance of the engine, but exactly one is kept. Extra columns pass through whatever their names.
+    apart by a hash of the whole row, so a stage that runs again decides alike; of wholly equal rows exactly one is kept. Extra
+    columns pass through whatever their names.
     """
     many, share, first = fresh(df, "_ll_many"), fresh(df, "_ll_share"), fresh(df, "_ll_first")
     counts = df.where(_has_id(key)).groupBy(F.col(key).alias(many)).agg(F.count(F.lit(1)).alias(first))
     repeated = counts.where(F.col(first) > 1).select(many)
     marked = df.join(repeated, F.col(key) == F.col(many), "left")
     singles = marked.where(F.col(many).isNull()).select(*df.columns)
-    copies = marked.where(F.col(many).isNotNull()).withColumn(share, F.floor(F.rand(7) * shares).cast("int"))
-    by = [F.col(c).asc_nulls_first() for c in order]
+    whole = F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind])
+    copies = marked.where(F.col(many).isNotNull()).withColumn(share, F.pmod(whole, F.lit(shares)).cast("int"))
+    by = [*[F.col(c).asc_nulls_first() for c in order], whole]
     local = copies.withColumn(first, F.row_number().over(Window.partitionBy(many, share).orderBy(*by)))
-    winners = local.where(F.col(first) == 1).withColumn(first, F.row_number().over(Window.partitionBy(many).orderBy(*by, F.col(share))))
+    winners = local.where(F.col(first) == 1).withColumn(first, F.row_number().over(Window.partitionBy(many).orderBy(*by)))
     kept = singles.unionByName(winners.where(F.col(first) == 1).select(*df.columns))
     dropped = local.where(F.col(first) > 1).select(*df.columns).unionByName(winners.where(F.col(first) > 1).select(*df.columns))
     return kept, dropped
