@@ -283,6 +283,8 @@ def _mark(text: str, words: str, segments: list[Segment], k: int, m: re.Match, s
             c.label = 0
         elif group == "." and eol and (s.short or (size >= 5 and pc != "d")) and (nc in ("l", "") or first or (nc in ("d", "U") and pc == "l" and size >= 5 and not initial)):
             c.label = 1
+        elif group == "." and starters and nextish and pc == "l" and size <= 2 and not inner and nc == "U" and not first:
+            c.label = 0
         elif group == "." and inner and nextish and pc == "l" and nc == "U" and not initial:
             c.label = 1
         elif group == "." and followers and nextish and pc == "d" and nc == "U":
