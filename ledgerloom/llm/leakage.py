@@ -1,8 +1,8 @@
 """Evaluation passages in scanned pages, by greedy string tiling.
 
 Texts are reduced to their letters and digits, folded to classes of shapes that scanners confuse, so that capitals, punctuation,
-hyphens at line ends and lost or added blanks play no part. Runs of such letters that few items share are joined as seeds: they pair
-pages with items. For each pair, hashed runs (Karp-Rabin) give all matches; the longest are marked first and none overlaps
+hyphens at line ends and lost or added blanks play no part. Hashed runs (Karp-Rabin) give all matches of a page with all items; an item
+whose matches could not be linked over enough of it is dropped. For the rest, the longest are marked first and none overlaps
 another, and marked tiles are linked along the item: over a short misreading, or from the end of one printed segment to the
 start of another, as columns and adverts scatter a passage. The words of the item under one chain of tiles decide.
 """
@@ -20,13 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MIN_WORDS, MIN_CHARS = 16, 30
-#: Length of a seed and of the shortest tile, in letters: (alphabets, scripts without blanks).
-SEED, TILE = (16, 6), (5, 3)
-#: A seed in more items than this is common and pairs nothing, except in stretches of an item that hold fewer than ENOUGH rare ones.
-COMMON, ENOUGH = 2, (32, 16)
-#: Seeds within two neighbouring spans of SPAN letters that make a pair worth tiling; letters on either side that are tiled.
-HITS, SPAN, AROUND = (24, 8), (512, 128), 2500
-#: Items are searched for in blocks of so many, each broadcast with its seeds: about 60 MB at most.
+#: Length of the shortest tile, in letters: (alphabets, scripts without blanks).
+TILE = (5, 3)
+#: Items are searched for in blocks of so many, each broadcast: about 60 MB at most with its hashes.
 BLOCK = 20_000
 
 # Letters that scanners take for one another, each line a class named by its first letter.
@@ -176,6 +172,10 @@ GAP, EDGE = 9, 4
 REACH, COVERAGE = 6, 0.85
 #: Letters that a link over anything but a misreading or a turn costs, as over another number.
 BREAK = 4
+#: Places left free between items that lie on one line; more than a gap.
+PAD = 32
+#: Letters of pages that are searched at once, and pairs of a page and an item at most.
+LETTERS, PAIRS = 50_000, 1_000_000
 
 
 def joined(found: list[tuple[int, int, int]], page: Page, item: Item) -> list[tuple[int, int, int, int]]:
@@ -280,121 +280,202 @@ def words_under(item: Item, begin: int, end: int) -> int:
     return sum(1 for a, b in zip(item.starts, stops, strict=True) if 2 * (min(b, end) - max(a, begin)) > b - a)
 
 
-def leaked_words(page: Page, page_hashes: np.ndarray, item: Item) -> int:
-    found = matches(page, page_hashes, item)
-    least = TILE[item.unspaced]
-    tiles = mark(joined(found, page, item), least, len(page.letters))
+def leaked_words(page: Page, found: list[tuple[int, int, int]], item: Item) -> int:
+    """Words or characters under the best chain of tiles, from all matches of a page and an item."""
+    tiles = mark(joined(found, page, item), TILE[item.unspaced], len(page.letters))
     begin, end, under, _ = chains(tiles, page, item)
     return words_under(item, begin, end) if under >= COVERAGE * (end - begin) else 0
 
 
+def _least_letters(item: Item) -> int:
+    """Letters that a span of the least length that counts has at least; 0 if the item is shorter than that."""
+    if item.unspaced:
+        first = np.arange(len(item.places))
+        last = np.searchsorted(item.places, item.places + MIN_CHARS - 1)
+        size = (last + 1 - first)[last < len(item.places)]
+        return int(size.min()) if len(size) else 0
+    sizes = np.diff([*item.starts, len(item.letters)])
+    if len(sizes) < MIN_WORDS:
+        return 0
+    inner = np.convolve(sizes, np.ones(MIN_WORDS - 2, dtype=np.int64), "valid")[1:-1]  # more than half of the outer two
+    return int((inner + sizes[: len(inner)] // 2 + sizes[MIN_WORDS - 1 :] // 2 + 2).min())
+
+
 class Index:
-    """Seeds of a block of items, looked up by hash."""
+    """Runs of a tile's length of a block of items, looked up by hash."""
 
     def __init__(self, items: list[Item]):
         self.items = items
         self.sides = [self._side(by_char) for by_char in (False, True)]
 
     def _side(self, by_char: bool):
-        found, owner, place = [], [], []
-        for k, item in enumerate(self.items):
-            if item.unspaced == by_char:
-                h = hashes(item.letters, SEED[by_char])
-                found.append(h)
-                owner.append(np.full(len(h), k, dtype=np.int32))
-                place.append(np.arange(len(h), dtype=np.int32))
-        if not found or not sum(map(len, found)):
+        least = {k: n for k, item in enumerate(self.items) if item.unspaced == by_char and (n := _least_letters(item))}
+        if not least:
             return None
-        h, owner, place = np.concatenate(found), np.concatenate(owner), np.concatenate(place)
-        order = np.lexsort((owner, h))
-        h, owner, place = h[order], owner[order], place[order]
-        first = np.r_[True, h[1:] != h[:-1]]
-        pair = first | np.r_[True, owner[1:] != owner[:-1]]
-        group = np.cumsum(first) - 1
-        rare = np.bincount(group[pair])[group] <= COMMON
-        use = rare | self._thin(owner, place, rare, by_char)
-        h, owner = h[use], owner[use]
-        sieve = np.zeros(1 << 20, dtype=bool)
-        sieve[h >> np.uint64(44)] = True
-        return h, owner, sieve
-
-    def _thin(self, owner: np.ndarray, place: np.ndarray, rare: np.ndarray, by_char: bool) -> np.ndarray:
-        """Seeds in stretches of the least length that counts which hold too few rare seeds."""
-        out = np.zeros(len(owner), dtype=bool)
-        for k, item in enumerate(self.items):
-            if item.unspaced != by_char:
-                continue
-            mine = np.flatnonzero(owner == k)
-            flags = np.zeros(len(item.letters) + 1, dtype=np.int64)
-            flags[place[mine[rare[mine]]] + 1] = 1
-            total, thin = np.cumsum(flags), np.zeros(len(item.letters), dtype=bool)
-            least, stops = (MIN_CHARS if by_char else MIN_WORDS), [*item.starts, len(item.letters)]
-            for a in range(max(1, len(stops) - least)):
-                begin, end = stops[a], stops[min(a + least, len(stops) - 1)]
-                if total[max(begin, end - SEED[by_char] + 1)] - total[begin] < ENOUGH[by_char]:
-                    thin[begin:end] = True
-            out[mine] = thin[place[mine]]
-        return out
-
-    def pairs(self, page: Page) -> list[tuple[int, int, int]]:
-        """(item, first letter, last letter) of the items whose seeds lie close together on the page, and where."""
-        out = []
+        mine = np.array(list(least))
+        size = np.array([len(self.items[k].letters) for k in mine])
+        begin = np.cumsum(size + PAD) - size - PAD  # of each item on one line of all letters
+        h = [hashes(self.items[k].letters, TILE[by_char]) for k in mine]
+        place = np.concatenate([b + np.arange(len(x)) for b, x in zip(begin, h, strict=True)])
+        h = np.concatenate(h)
+        order = np.argsort(h, kind="stable")
+        h, first, n = np.unique(h[order], return_index=True, return_counts=True)
+        slots = np.searchsorted(h >> np.uint64(44), np.arange((1 << 20) + 1, dtype=np.uint64))
+        return h, first, n, place[order], slots, mine, begin, np.array(list(least.values()))
+
+    def pairs(self, pages: list[Page]) -> list[tuple[int, int, list[tuple[int, int, int]]]]:
+        """(page, item, matches) of every pair that may have a chain of the least length: no other pair can.
+
+        Matches that may be joined form a group, which holds whole tiles. Groups are linked wherever `chains` may link tiles that lie
+        in them, however those are shortened. What is linked must reach over the least length, and cover enough of it.
+        """
+        out: list[tuple[int, int, list[tuple[int, int, int]]]] = []
+        if not pages:
+            return out
+        lengths = np.array([len(p.letters) for p in pages])
+        offsets = np.cumsum(lengths + PAD) - lengths
+        line = np.zeros(int(offsets[-1] + lengths[-1] + PAD), dtype=pages[0].letters.dtype)
+        for p, x in zip(pages, offsets, strict=True):
+            line[x : x + len(p.letters)] = p.letters
+        marks = np.concatenate([x + np.array(p.segments) for p, x in zip(pages, offsets, strict=True)])
         for by_char, side in enumerate(self.sides):
-            if side is None:
-                continue
-            h, owner, sieve = side
-            own = hashes(page.letters, SEED[by_char])
-            at = np.flatnonzero(sieve[own >> np.uint64(44)])
-            if len(at) < HITS[by_char]:
-                continue
-            low = np.searchsorted(h, own[at], "left")
-            n = np.searchsorted(h, own[at], "right") - low
-            total = int(n.sum())
-            if total < HITS[by_char]:
-                continue
-            span = np.repeat(at // SPAN[by_char], n)
-            whose = owner[np.repeat(low, n) + np.arange(total) - np.repeat(np.cumsum(n) - n, n)].astype(np.int64)
-            width = len(page.letters) // SPAN[by_char] + 3
-            cells, counts = np.unique(whose * width + span, return_counts=True)
-            follows = np.r_[np.diff(cells) == 1, False]
-            near = counts + np.where(follows, np.r_[counts[1:], 0], 0)
-            for cell in cells[near >= HITS[by_char]].tolist():
-                k, s = divmod(cell, width)
-                begin, end = s * SPAN[by_char] - AROUND, (s + 2) * SPAN[by_char] + AROUND
-                if out and out[-1][0] == k and begin <= out[-1][2]:
-                    out[-1] = (k, out[-1][1], end)
-                else:
-                    out.append((k, begin, end))
+            if side is not None:
+                self._linked(out, by_char, side, line, marks, offsets)
         return out
 
-
-def _part(page: Page, begin: int, end: int) -> Page:
-    """The whole segments of a page around letters begin..end."""
-    marks = page.segments
-    a = max(bisect_right(marks, max(begin, 0)) - 1, 0)
-    b = min(bisect_right(marks, min(end, marks[-1] - 1)), len(marks) - 1)
-    return Page(page.letters[marks[a] : marks[b]], page.figures[marks[a] : marks[b]], [m - marks[a] for m in marks[a : b + 1]])
-
-
-def search(index: Index, text: str | None) -> list[tuple[int, int, bool]]:
-    """(item id, words or characters found, counted in characters) of every item that shares a chain of tiles with a text."""
-    if not text:
-        return []
-    page, best = make_page(text), {}
-    if not len(page.letters):
-        return []
-    for k, begin, end in index.pairs(page):
-        item, part = index.items[k], _part(page, begin, end)
-        n = leaked_words(part, hashes(part.letters, TILE[item.unspaced]), item)
-        best[k] = max(best.get(k, 0), n)
-    return [(index.items[k].item_id, n, index.items[k].unspaced) for k, n in best.items() if n]
+    def _linked(self, out: list, by_char: int, side: tuple, line: np.ndarray, marks: np.ndarray, offsets: np.ndarray) -> None:
+        h, first, count, place, slots, mine, begin, least = side
+        own = hashes(line, TILE[by_char])
+        slot = (own >> np.uint64(44)).astype(np.int64)
+        low, high = slots[slot], slots[slot + 1]
+        at = np.flatnonzero(low < high)
+        low, high, found = low[at], high[at], []
+        while len(at):
+            same = h[low] == own[at]
+            found.append((at[same], low[same]))
+            more = ~same & (low + 1 < high)
+            at, low, high = at[more], low[more] + 1, high[more]
+        at, low = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (at, low)
+        if not len(at):
+            return
+        n = count[low]
+        of = place[np.repeat(first[low] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        at = np.repeat(at, n)
+        width = len(line) + PAD
+        key = (of - at + width) * width + at
+        key.sort()
+        new = np.flatnonzero(np.r_[True, np.diff(key) != 1])
+        size = np.diff(np.r_[new, len(key)]) + TILE[by_char] - 1
+        diagonal, d0 = np.divmod(key[new], width)
+        i0 = diagonal + d0 - width
+        items = len(mine)
+        item = np.searchsorted(begin, i0, "right") - 1
+        whose = (np.searchsorted(offsets, d0, "right") - 1) * items + item
+        # what cannot be enough even if every match were joined to another
+        some = np.bincount(whose, size + GAP, len(offsets) * items)[whose] >= COVERAGE * least[item]
+        order = np.flatnonzero(some)
+        if not len(order):
+            return
+        order = order[np.argsort(whose[order], kind="stable")]  # by pair, diagonal, place
+        d0, size, whose, item = d0[order], size[order], whose[order], item[order]
+        i0 = i0[order] - begin[item]
+        d1, i1, shift = d0 + size, i0 + size, d0 - i0
+
+        near = []  # two matches of a pair whose diagonals differ by at most 3
+        for k in range(1, len(whose)):
+            a = np.flatnonzero((whose[k:] == whose[:-k]) & (np.abs(shift[k:] - shift[:-k]) <= 3))
+            if not len(a):
+                break
+            near.append(np.stack([a, a + k]))
+        a, b = np.concatenate(near, axis=1) if near else np.zeros((2, 0), dtype=np.int64)
+        may_join = (np.maximum(d0[a], d0[b]) - np.minimum(d1[a], d1[b]) <= GAP) & (np.maximum(i0[a], i0[b]) - np.minimum(i1[a], i1[b]) <= GAP)
+        group = _components(len(whose), a[may_join], b[may_join])
+        g0, g1 = _over(group, d0, d1)
+        close = (g0[b] <= g1[a] + 4) & (g0[a] <= g1[b] + 4)
+        a, b = a[close], b[close]
+
+        # turns: a segment's end under or behind one group, a segment's start under or before another, at the same place of the item
+        low, high = np.searchsorted(marks, g0 - EDGE), np.searchsorted(marks, g1 + EDGE, "right")
+        n = high - low
+        run = np.repeat(np.arange(len(n)), n)
+        mark_no = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        m = marks[mark_no]
+        spot = m - shift[run] + PAD + 4 * EDGE
+        ends, starts = m > g0[run], m < g1[run]
+        stride = int(spot.max(initial=0) - min(0, spot.min(initial=0))) + 8
+        base = spot - min(0, int(spot.min(initial=0))) + 4
+        order = np.flatnonzero(starts)
+        order = order[np.argsort(whose[run[order]] * stride + base[order], kind="stable")]
+        keys = whose[run[order]] * stride + base[order]
+        e = np.flatnonzero(ends)
+        wanted = whose[run[e]] * stride + base[e]
+        low, high = np.searchsorted(keys, wanted - 2), np.searchsorted(keys, wanted + 2, "right")
+        n = high - low
+        e, s = np.repeat(e, n), order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        on = mark_no[s] - mark_no[e]
+        wide = (g1 - g0) >= (8 if by_char else 24)
+        linked = ((on >= 0) & (on < REACH)) | (wide[run[e]] & wide[run[s]])
+        linked &= run[e] != run[s]
+        a, b = np.r_[a, run[e[linked]]], np.r_[b, run[s[linked]]]
+
+        _, number = np.unique(group, return_inverse=True)
+        chain = _components(int(number.max()) + 1, number[a], number[b])[number]
+        c0, c1 = _over(chain, i0, i1)
+        covers = np.bincount(chain, size + GAP * (np.bincount(group, minlength=len(group))[group] > 1))[chain]
+        kept = (c1 - c0 >= least[item]) & (covers >= COVERAGE * least[item])
+        for w in np.unique(whose[kept]).tolist():
+            x, y = np.searchsorted(whose, w), np.searchsorted(whose, w, "right")
+            page = w // items
+            out.append((page, int(mine[w % items]), list(zip((d0[x:y] - offsets[page]).tolist(), i0[x:y].tolist(), size[x:y].tolist(), strict=True))))
+
+
+def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number that each of 0..n-1 is connected to over edges a-b."""
+    label = np.arange(n)
+    while len(a):
+        x, y = label[a], label[b]
+        low = np.minimum(x, y)
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        while (label[label] != label).any():
+            label = label[label]
+        differ = label[a] != label[b]
+        a, b = a[differ], b[differ]
+    return label
+
+
+def _over(group: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least begin and the greatest end in each one's group."""
+    low, high = np.full(len(group), np.iinfo(np.int64).max), np.zeros(len(group), dtype=np.int64)
+    np.minimum.at(low, group, begins)
+    np.maximum.at(high, group, ends)
+    return low[group], high[group]
+
+
+def search(index: Index, texts: list[str | None]) -> list[list[tuple[int, int, bool]]]:
+    """For each text, (item id, words or characters found, counted in characters) of every item of which it may hold the least length that counts."""
+    out: list[list[tuple[int, int, bool]]] = [[] for _ in texts]
+    held: list[tuple[int, Page]] = []
+    letters, most = 0, max(1, PAIRS // max(1, len(index.items)))
+    for t, text in enumerate(texts):
+        page = make_page(text) if text else None
+        if page is not None and len(page.letters):
+            held.append((t, page))
+            letters += len(page.letters)
+        if held and (letters >= LETTERS or len(held) >= most or t == len(texts) - 1):
+            for p, k, found in index.pairs([page for _, page in held]):
+                item = index.items[k]
+                if n := leaked_words(held[p][1], found, item):
+                    out[held[p][0]].append((item.item_id, n, item.unspaced))
+            held, letters = [], 0
+    return out
 
 
 FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("n_shared", T.IntegerType()), T.StructField("in_chars", T.BooleanType())])
 
 
 def shared_passages(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """doc_id, item_id, n_shared (words, or characters where in_chars) for all documents and items with a common chain of tiles.
+    """doc_id, item_id, n_shared (words, or characters where in_chars) for all documents and items with a common chain of tiles, if it may be of the least length.
 
     Items go to the executors in blocks of at most `block` (a checked bound), each against whole texts of all documents; documents
     are never shuffled. Null or empty texts share nothing. Repeated documents or items give repeated rows.
@@ -412,7 +493,7 @@ def shared_passages(documents: DataFrame, items: DataFrame, doc_id: str = "doc_i
         def find(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             index = Index([make_item(a, t) for a, t in sent.value])
             for batch in batches:
-                rows = [(d, *hit) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for hit in search(index, t)]
+                rows = [(d, *hit) for d, hits in zip(batch["doc_id"], search(index, batch["text"].tolist()), strict=True) for hit in hits]
                 yield pd.DataFrame(rows, columns=FOUND.fieldNames())
 
         found = pages.mapInPandas(find, FOUND)

@@ -148,6 +148,50 @@ def test_unspaced_leak(spark):
     assert [tuple(r) for r in got] == [(1, 7)]
 
 
+def _every_pair(items, texts):
+    """Words found by tiling all pages with all items."""
+    out = {}
+    for d, text in enumerate(texts):
+        page = leakage.make_page(text)
+        for item in items:
+            n = leakage.leaked_words(page, leakage.matches(page, leakage.hashes(page.letters, leakage.TILE[item.unspaced]), item), item)
+            if n >= (leakage.MIN_CHARS if item.unspaced else leakage.MIN_WORDS):
+                out[d, item.item_id] = n
+    return out
+
+
+def test_no_pair_is_lost_before_tiling():
+    rng = random.Random(12)
+    stock = [_passage(rng, 6)[:-1] for _ in range(8)]  # phrases that all items share
+    words = [" ".join(rng.choice(stock) if rng.random() < 0.5 else _passage(rng, 5)[:-1] for _ in range(6)) for _ in range(10)]
+    signs = [chr(0x4E00 + i) for i in range(60)]
+    items = [leakage.make_item(i, w) for i, w in enumerate(words)] + [leakage.make_item(50 + i, "".join(rng.choice(signs) for _ in range(80))) for i in range(4)]
+    chars = ["".join(chr(c) for c in item.letters) for item in items[10:]]
+    texts = []
+    for n in range(160):
+        rate = rng.choice([0, 0.03, 0.08, 0.12])
+        misread = lambda t: "".join(rng.choice("xkzq") if c != " " and rng.random() < rate else c for c in t)  # noqa: E731, B023
+        if n % 4:
+            w, a = rng.choice(words).split(), rng.randrange(8)
+            part, width = w[a : a + rng.randrange(14, 24)], rng.randrange(2, 7)
+            lines = [misread(" ".join(part[i : i + width])) for i in range(0, len(part), width)]
+            other = [misread(rng.choice(stock + words)[:30]) for _ in lines]
+        else:
+            part, width = rng.choice(chars)[5 : 5 + rng.randrange(28, 50)], rng.randrange(6, 20)
+            lines = [misread(part[i : i + width]) for i in range(0, len(part), width)]
+            other = ["".join(rng.choice(signs) for _ in range(12)) for _ in lines]
+        if n % 3 == 0:
+            lines = [x for pair in zip(lines, other, strict=True) for x in pair]
+        elif n % 3 == 1:
+            k = len(lines) // 2
+            lines = lines[k:] + other + lines[:k]
+        texts.append("\n".join([other[0], *lines, other[-1]]))
+    index = leakage.Index(items)
+    got = {(d, i): n for d, hits in enumerate(leakage.search(index, texts)) for i, n, by_char in hits if n >= (leakage.MIN_CHARS if by_char else leakage.MIN_WORDS)}
+    want = _every_pair(items, texts)
+    assert got == want and len(want) > 40
+
+
 def test_matches_are_maximal():
     item, page = leakage.make_item(1, "abcdefghij klmnop"), leakage.make_page("xx abcdefghij\nklmnop yy")
     found = leakage.matches(page, leakage.hashes(page.letters, leakage.TILE[False]), item)
