@@ -7,7 +7,7 @@ become known after that are told apart and change nothing.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,6 +67,22 @@ def batch_recompute(log: DataFrame, frozen: DataFrame | None, now_us: int, keys:
     return view if frozen is None else settled.unionByName(view)
 
 
+def scheduled(log: DataFrame, times_us: Sequence[int], keys: Sequence[str], amount: str, known_us: str = "known_us", keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """The first figures and the batch view after batch runs at times_us, in order.
+
+    First figures: what the fast layer added while each day was provisional, batch by batch. keep: stores a view after each
+    run, so that plans don't grow with the number of runs.
+    """
+    first, view, last = None, None, None
+    for now in times_us:
+        new = log.where(F.col(known_us) <= now)
+        new = new if last is None else new.where(F.col(known_us) > last)
+        first = keep(fast_increment(first, new.where("route = 'on_time'"), keys, amount))
+        view = keep(batch_recompute(log, view, now, keys, amount, known_us))
+        last = now
+    return first, view
+
+
 def serve(batch_view: DataFrame, fast_view: DataFrame | None, keys: Sequence[str]) -> DataFrame:
     """What a reader sees: the batch view plus the increments of records known since its run."""
     base = batch_view.select(*keys, "period_us", "n", "amount")

@@ -25,18 +25,43 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_log(spark: SparkSession, d: str) -> DataFrame:
-    """event_id, event_us and known_us, one row per event: all deliveries of an event agree in both."""
-    events = table(spark, d, "billing_events").select("event_id", "source_system", "event_at", F.unix_micros("available_at").alias("known_us"))
+    """event_id, event_us, known_us and amount, one row per event: all deliveries of an event agree in them, but the amount may be missing."""
+    events = table(spark, d, "billing_events").select("event_id", "source_system", "event_at", F.unix_micros("available_at").alias("known_us"), "amount_minor")
     events = instants.to_instants(events, "event_at", table(spark, d, "source_systems"))
-    return events.groupBy("event_id").agg(F.min("utc_micros").alias("event_us"), F.min("known_us").alias("known_us"))
+    return events.groupBy("event_id").agg(F.min("utc_micros").alias("event_us"), F.min("known_us").alias("known_us"), F.max("amount_minor").alias("amount"))
 
 
 def _p2_log(spark: SparkSession, d: str) -> DataFrame:
+    """record_kind, row_key, event_us, known_us and amount of events and allocations. Repeated rows of an allocation are kept."""
     events = event_log(spark, d)
-    allocations = table(spark, d, "allocations").select("allocation_id", F.col("payment_event_id").alias("_pay"), F.unix_micros("available_at").alias("known_us"))
+    amount = F.when(F.col("allocated_amount_minor").rlike(r"\A[0-9]{1,18}\z"), F.col("allocated_amount_minor").try_cast("long"))
+    allocations = table(spark, d, "allocations").select("allocation_id", F.col("payment_event_id").alias("_pay"), F.unix_micros("available_at").alias("known_us"), amount.alias("amount"))
     paid = allocations.join(events.select(F.col("event_id").alias("_pay"), "event_us"), "_pay")
-    log = events.select(F.lit("event").alias("record_kind"), F.col("event_id").alias("row_key"), "event_us", "known_us")
-    return log.unionByName(paid.select(F.lit("allocation").alias("record_kind"), F.col("allocation_id").alias("row_key"), "event_us", "known_us"))
+    log = events.select(F.lit("event").alias("record_kind"), F.col("event_id").alias("row_key"), "event_us", "known_us", "amount")
+    return log.unionByName(paid.select(F.lit("allocation").alias("record_kind"), F.col("allocation_id").alias("row_key"), "event_us", "known_us", "amount"))
+
+
+#: Days between batch runs. The figures after the last run don't depend on it.
+RUN_DAYS = 180
+
+
+def _daily(log: DataFrame) -> DataFrame:
+    """Per record_kind and UTC day of event time: first figures, those after the last batch run, whether frozen, and what the cut-off shut out.
+
+    Batch runs follow each other every RUN_DAYS from the first record known until the cut-off of the last day and the last record
+    have passed.
+    """
+    keys, day_us = ["record_kind"], late_views.DAY_US
+    log = cut(late_views.route(log).where("period_us is not null").select(*keys, "period_us", "known_us", "route", "amount"))
+    low, high, last = (int(x or 0) for x in log.agg(F.min("known_us"), F.max("known_us"), F.max("period_us")).first())
+    end = max(high, last + (1 + late_views.CUTOFF_DAYS) * day_us)
+    first, view = late_views.scheduled(log, [*range(low, end, RUN_DAYS * day_us), end], keys, "amount", keep=cut)
+    first = first.select(*keys, "period_us", F.col("n").alias("n_first"), F.col("amount").alias("amount_first"))
+    shut = late_views.missed(log).where("route = 'too_late'").groupBy(*keys, "period_us").agg(F.count(F.lit(1)).alias("n_too_late"), F.sum(F.col("amount").cast("decimal(38,0)")).alias("amount_too_late"))
+    days = view.join(first, [*keys, "period_us"], "full").join(shut, [*keys, "period_us"], "full")
+    day = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("period_us") / day_us).cast("int")), "yyyy-MM-dd")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return days.select(*keys, day.alias("day"), count("n_first"), "amount_first", count("n"), "amount", F.coalesce("is_frozen", F.lit(True)).alias("is_frozen"), count("n_too_late"), "amount_too_late")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -49,9 +74,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_daily(spark: SparkSession, d: str) -> DataFrame:
     """Per UTC day of event time: events in the first figures, corrected later, and shut out, after the last batch run."""
     tune(spark)
-    log = late_views.route(event_log(spark, d)).where("period_us is not null")
-    day = F.date_add(F.lit("1970-01-01").cast("date"), (F.col("period_us") / late_views.DAY_US).cast("int"))
-    return log.groupBy(F.date_format(day, "yyyy-MM-dd").alias("day")).agg(*[F.count_if(F.col("route") == k).alias(f"n_{k}") for k in ("on_time", "late", "too_late")])
+    days = _daily(event_log(spark, d).withColumn("record_kind", F.lit("event")))
+    return days.select("day", F.col("n_first").alias("n_on_time"), (F.col("n") - F.col("n_first")).alias("n_late"), "n_too_late")
+
+
+def p2_views(spark: SparkSession, d: str) -> DataFrame:
+    """Per kind of record, events and allocations, and UTC day of event time: numbers and amounts at first, after the last batch run, and shut out."""
+    tune(spark)
+    return _daily(_p2_log(spark, d).distinct())
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -130,4 +160,4 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return dropped.select("delivery_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_daily, p3_found, p4_found, p4_descendants, p6_found, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_daily, p2_views, p3_found, p4_found, p4_descendants, p6_found, p7_found)}

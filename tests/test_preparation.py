@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import hierarchy as hi
 from ledgerloom.operators import late_views, redelivery, rejects, valid_at
+from ledgerloom.plans import preparation
 
 DAY = late_views.DAY_US
 
@@ -44,6 +45,41 @@ def test_views_come_out_right_whatever_the_order(spark):
     assert late_views.missed(log).where("route = 'too_late'").count() == sum(1 for _, t, known, _ in rows if known > (t // DAY + 31) * DAY)
 
 
+def test_first_and_last_figures_of_a_schedule(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice("xy"), (t := rng.randrange(0, 40) * DAY + rng.randrange(DAY)), t + rng.randrange(0, 60 * DAY) // rng.choice([1, 30]), rng.randrange(100)) for _ in range(300)]
+    log = late_views.route(_log(spark, rows)).cache()
+    first, last = Counter(), Counter()
+    for k, t, known, amount in rows:
+        lag = known - (t // DAY + 1) * DAY
+        first[k, t // DAY * DAY] += amount * (lag <= 2 * DAY)
+        last[k, t // DAY * DAY] += amount * (lag <= 30 * DAY)
+    for times in ([120 * DAY], [15 * DAY, 44 * DAY, 120 * DAY]):
+        for view, want in zip(late_views.scheduled(log, times, ["k"], "amount"), (first, last), strict=True):
+            assert {x: n for r in view.collect() if (n := int(r["amount"])) and (x := (r["k"], r["period_us"]))} == {x: n for x, n in want.items() if n}
+
+
+def test_daily_views_hold_allocations_and_run_the_batches(spark, monkeypatch):
+    calls = Counter()
+    for name in ("fast_increment", "batch_recompute"):
+        f = getattr(late_views, name)
+        monkeypatch.setattr(late_views, name, lambda *a, f=f, name=name, **k: (calls.update([name]), f(*a, **k))[1])
+    d = "/root/testdata/sf0.001"
+    views = [r.asDict() for r in preparation.p2_views(spark, d).collect()]
+    runs = calls["batch_recompute"]
+    assert runs > 1 and calls["fast_increment"] == runs and all(r["is_frozen"] for r in views)
+    log = late_views.route(preparation._p2_log(spark, d).distinct()).where("period_us is not null").collect()
+    assert {r["record_kind"] for r in views} == {"event", "allocation"}
+    for kind in ("event", "allocation"):
+        mine, own = [r for r in log if r["record_kind"] == kind], [r for r in views if r["record_kind"] == kind]
+        for route, n, amount in ((("on_time",), "n_first", "amount_first"), (("on_time", "late"), "n", "amount"), (("too_late",), "n_too_late", "amount_too_late")):
+            assert sum(r[n] for r in own) == sum(r["route"] in route for r in mine)
+            assert sum(int(r[amount] or 0) for r in own) == sum(r["amount"] or 0 for r in mine if r["route"] in route)
+    daily = {r["day"]: (r["n_on_time"], r["n_late"], r["n_too_late"]) for r in preparation.p2_daily(spark, d).collect()}
+    assert calls["batch_recompute"] > runs
+    assert daily == {r["day"]: (r["n_first"], r["n"] - r["n_first"], r["n_too_late"]) for r in views if r["record_kind"] == "event"}
+
+
 # ---- rejected rows
 ALLOCATION = "A1,P1,B1,100,USD,2024-01-01T00:00:00Z,ref"
 
