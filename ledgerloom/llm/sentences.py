@@ -4,7 +4,8 @@ Every mark that may end a sentence, and every printed line that may be a headlin
 in reading order: in the same printed segment, or in the next segment of the same column. A maximum-entropy model judges the
 candidates by the tokens beside them, their case, length, digits and script, the marks and the closing quotes. It is trained
 on candidates whose nature is plain from their surroundings (a small letter behind a full stop, a long small word before one and a capital
-behind it), from a bounded sample of documents; everything else is done for whole texts of all documents.
+behind it), from a bounded sample of documents; the words that open sentences or follow ordinals are counted in all documents, and everything else
+is done for whole texts of all documents.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from pyspark.sql import types as T
 
 #: Documents that the model is trained on, taken by the order of a hash of their id.
 TRAIN_DOCS = 2000
+#: Times that a word must open sentences, or follow ordinals, to count as one that does.
+LEAST = 3
+#: Different words that a task counts before it hands them on.
+HELD = 200_000
 BITS = 17
 MASK = (1 << BITS) - 1
 
@@ -32,6 +37,7 @@ PLAIN_ENDS = "!?。！？।॥؟۔"
 CLOSERS = "”\"“»«」』)）’"
 OPENERS = "“„«「『(¿¡\"‘"
 _CANDIDATE = re.compile(rf"[{ENDS}]+(?:[  ]?»|[”\"“」』)）’])*|,[”\"“]?(?=\s+[„“«¿¡\"]?[^\W\d_])")
+_PLAIN_END = re.compile(f"[{PLAIN_ENDS}]")
 _RULE = re.compile(r"[\W_]*\Z")
 _GAP = re.compile(r" {2,}| \| |\t+")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
@@ -346,18 +352,55 @@ def fit(found: list[Candidate], rounds: int = 120, rate: float = 0.5, decay: flo
     return Model(weights)
 
 
-def learn(texts: list[tuple]) -> Model:
-    """A model from (text, boxes) pairs: first the words that follow ! and ? rather than stand within sentences, then the weights."""
+def openings(text: str, boxes) -> list[str]:
+    """Capitalised words that follow ! and ?, as `opens` of all candidates of a text, without judging the rest."""
+    if not _PLAIN_END.search(text):
+        return []
+    segments, out = segments_of(text, boxes), []
+    for k, s in enumerate(segments):
+        if s.rule:
+            continue
+        words = text[s.start : s.end]
+        if not _PLAIN_END.search(words):
+            continue
+        script = ""
+        for m in _CANDIDATE.finditer(words):
+            run = m.group()
+            marks = run[: len(run) - len(run.lstrip(ENDS))]
+            if not any(c in PLAIN_ENDS for c in marks) or run[len(marks) :].strip():
+                continue
+            here = words[m.end() :].strip()
+            if len(here) < 30:
+                here = (here + " " + _joined_next(text, segments, k)).strip()
+            lead = here.lstrip(OPENERS + " —–-")
+            if lead[:1].isupper():
+                script = script or script_of(text)
+                next_word = _WORD.match(lead)
+                word = lead[:1] if script == "cjk" else lead[:3] if script == "th" else next_word.group() if next_word else ""
+                if word:
+                    out.append(word)
+    return out
+
+
+def count_words(texts) -> tuple[Counter, Counter, Counter, Counter]:
+    """Of (text, boxes) pairs: words that follow ! and ?, capitals within sentences, words behind ordinals, and all capitals."""
     opening, inside, behind, capitals = Counter(), Counter(), Counter(), Counter()
     for text, boxes in texts:
-        opening.update(c.opens for c in candidates(text, boxes) if c.opens)
+        opening.update(openings(text, boxes))
         inside.update(_INNER_CAPITAL.findall(text))
         behind.update(_AFTER_ORDINAL.findall(text))
         capitals.update(_CAPITAL.findall(text))
-    starters = frozenset(w for w, n in opening.items() if n >= 3 and n > inside[w])
-    followers = frozenset(w for w, n in behind.items() if n >= 3 and 2 * n > capitals[w])
-    model = fit([c for text, boxes in texts for c in candidates(text, boxes, starters, followers)])
-    return Model(model.weights, starters, followers)
+    return opening, inside, behind, capitals
+
+
+def learn(texts: list[tuple], words: tuple[frozenset[str], frozenset[str]] | None = None) -> Model:
+    """A model from (text, boxes) pairs. words: starters and followers; without them they are counted in the same texts."""
+    if words is None:
+        opening, inside, behind, capitals = count_words(texts)
+        starters = frozenset(w for w, n in opening.items() if n >= LEAST and n > inside[w])
+        words = starters, frozenset(w for w, n in behind.items() if n >= LEAST and 2 * n > capitals[w])
+    model = fit([c for text, boxes in texts for c in candidates(text, boxes, *words)])
+    return Model(model.weights, *words)
 
 
 def boundaries(model: Model, text: str | None, boxes=None) -> list[int]:
@@ -377,10 +420,41 @@ def boundaries(model: Model, text: str | None, boxes=None) -> list[int]:
 UNITS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("end_offset", T.IntegerType())])
 
 
+WORD_COUNTS = "word string, opening long, inside long, behind long, capitals long"
+
+
+def _bare(x0) -> list | None:
+    return None if x0 is None else [{"x0": None if x is None or x != x else x} for x in x0]
+
+
+def common_words(documents: DataFrame, text: str = "text", boxes: str | None = "line_boxes") -> tuple[frozenset[str], frozenset[str]]:
+    """Starters and followers, from all documents. Counts are summed in the tasks first; the driver is sent only words that pass."""
+    rows = documents.select(F.col(text).alias("text"), (F.transform(boxes, lambda b: b["x0"]) if boxes else F.lit(None).cast("array<int>")).alias("x0")).where("text <> ''")
+
+    def frame(counts: tuple[Counter, ...]) -> pd.DataFrame:
+        words = list(set().union(*counts))
+        return pd.DataFrame({"word": pd.Series(words, dtype="object")} | {c: pd.Series([n[w] for w in words], dtype="int64") for c, n in zip(("opening", "inside", "behind", "capitals"), counts, strict=True)})
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = count_words(())
+        for batch in batches:
+            for total, more in zip(held, count_words((t, _bare(x0)) for t, x0 in zip(batch["text"], batch["x0"], strict=True)), strict=True):
+                total.update(more)
+            if sum(map(len, held)) > HELD:
+                yield frame(held)
+                held = count_words(())
+        yield frame(held)
+
+    sums = rows.mapInPandas(count, WORD_COUNTS).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("opening", "inside", "behind", "capitals")])
+    starts, follows = (F.col("opening") >= LEAST) & (F.col("opening") > F.col("inside")), (F.col("behind") >= LEAST) & (2 * F.col("behind") > F.col("capitals"))
+    passed = sums.select("word", starts.alias("starts"), follows.alias("follows")).where("starts or follows").collect()
+    return frozenset(r["word"] for r in passed if r["starts"]), frozenset(r["word"] for r in passed if r["follows"])
+
+
 def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", boxes: str | None = "line_boxes", limit: int = TRAIN_DOCS) -> Model:
-    """A model from at most `limit` documents, those with the smallest hashes of their id up to a bound that lets 0.9 x limit through.
+    """A model whose weights are fitted to at most `limit` documents, those with the smallest hashes of their id up to a bound that lets 0.9 x limit through.
 
-    The driver is sent no more than those, however many documents there are.
+    Starters and followers are counted in all documents. The driver is sent no more than those words and that sample.
     """
     columns = [F.col(text).alias("text"), (F.col(boxes) if boxes else F.lit(None)).alias("boxes")]
     written = documents.where(F.col(text) != "")
@@ -389,7 +463,7 @@ def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", boxe
     if n > limit:
         written = written.where(share < int((1 << 40) * 0.9 * limit / n))
     sample = sorted(written.select(F.col(doc_id).alias("id"), *columns).limit(limit).collect(), key=lambda row: (row["id"], row["text"]))
-    return learn([(row["text"], row["boxes"]) for row in sample])
+    return learn([(row["text"], row["boxes"]) for row in sample], common_words(documents, text, boxes))
 
 
 def sentence_ends(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", boxes: str | None = "line_boxes") -> DataFrame:
@@ -405,7 +479,7 @@ def sentence_ends(documents: DataFrame, model: Model, doc_id: str = "doc_id", te
         for batch in batches:
             ids, ends = [], []
             for d, t, x0 in zip(batch["doc_id"], batch["text"], batch["x0"], strict=True):
-                found = boundaries(model, t, None if x0 is None else [{"x0": None if x is None or x != x else x} for x in x0])
+                found = boundaries(model, t, _bare(x0))
                 ids += [d] * len(found)
                 ends += found
             yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "end_offset": pd.Series(ends, dtype="int32")})

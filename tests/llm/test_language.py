@@ -241,6 +241,24 @@ def test_odd_texts(spark, model):
     assert sentences.train(df.limit(0)).weights.any() == False  # noqa: E712
 
 
+def test_words_are_counted_in_all_documents(spark, monkeypatch):
+    docs = [(i, "The lamp was sold! It was late.") for i in range(40)] + [(100 + i, f"Why was it sold? Wherefore he left {i} mills on the 3. Octember again.") for i in range(3)]
+    df = spark.createDataFrame([(*d, None) for d in docs], "doc_id long, text string, line_boxes array<struct<x0:int,y0:int,x1:int,y1:int,conf:int>>")
+    want = ({"It", "Wherefore"}, {"Octember"})
+    for held in (200_000, 0):
+        monkeypatch.setattr(sentences, "HELD", held)
+        assert sentences.common_words(df) == want
+    model = sentences.train(df, limit=5)
+    assert (model.starters, model.followers) == want
+    assert any(c.kind == "comma" for c in sentences.candidates("he left, Wherefore it was sold.", None, model.starters, model.followers))
+
+
+def test_openings_are_those_of_all_candidates():
+    texts = [EN, "Was it? Yes!\nNo one saw it! “Why?” Lane said?! — Then he left.", "left! Right   | Was it? No\nThe old   | And new!\n(Then) so?  | Is it\n", "今日は雨です。Ａはい？ Yes", "ฝนตกหนัก! ABC", "!!! What?\n-----\nNow", "«Так?» Он ушёл! Да"]
+    for text in texts:
+        assert sorted(sentences.openings(text, None)) == sorted(c.opens for c in sentences.candidates(text, None) if c.opens)
+
+
 def test_held_out_accuracy():
     rng = random.Random(10)
     names, titles = ["Reed", "Holt", "Lane", "Dunn"], ["Dr.", "Mr.", "Col.", "Mrs."]
