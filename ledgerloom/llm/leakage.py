@@ -232,10 +232,11 @@ def _within(tile: tuple[int, int, int, int], marks: list[int]) -> tuple[int, int
 
 
 def chains(tiles: list[tuple[int, int, int, int]], page: Page, item: Item) -> tuple[int, int, int, list[int]]:
-    """(item start, item end, letters under tiles, tiles) of the chain that spans most of the item.
+    """(item start, item end, letters under tiles, tiles) of the chain that spans most of the item, among those with COVERAGE of their span under tiles.
 
     Two tiles are linked if the item goes on where the first ends, and the page either goes on too, or turns from the end of one
     segment to the start of another: a few segments further on, or, where both tiles are long, anywhere (columns in wrong order).
+    For each tile, every start of a chain that ends with it is kept, with the most letters under tiles.
     """
     tiles = sorted((_within(t, page.segments) for t in tiles), key=lambda m: (m[2], m[3]))
     marks, long_tile = page.segments, 8 if item.unspaced else 24
@@ -243,32 +244,35 @@ def chains(tiles: list[tuple[int, int, int, int]], page: Page, item: Item) -> tu
     for d0, d1, _, _ in tiles:
         a, b = bisect_right(marks, d0) - 1, bisect_right(marks, d1 - 1) - 1
         spots.append((a, d0 - marks[a], b, marks[b + 1] - d1))
-    begins, unders, links = [], [], []
+    states: list[dict[int, tuple[int, int]]] = []  # start: letters under tiles, tile before
     ending: dict[int, list[int]] = {}
     best = (0, 0, 0, -1)
     for k, (d0, d1, i0, i1) in enumerate(tiles):
-        begin, under, link = i0, i1 - i0, -1
+        own = {i0: (i1 - i0, -1)}
         first, head, _, _ = spots[k]
-        for j in (j for h in range(i0 - 2 * EDGE, i0 + 4) for j in ending.get(h, ())):
-            e0, e1, h0, h1 = tiles[j]
-            gap = i0 - h1
-            if i1 <= h1 or begins[j] > begin:
-                continue
-            _, _, last, tail = spots[j]
-            near = -3 <= d0 - e1 <= 4 and abs(d0 - e1 - gap) <= 2
-            turn = tail <= EDGE and head <= EDGE and abs(tail + head - gap) <= 2 and (0 < first - last <= REACH or min(d1 - d0, e1 - e0) >= long_tile)
-            if (near or turn) and (begins[j], -unders[j]) < (begin, -under):
-                begin, under, link = begins[j], unders[j] + (i1 - max(i0, h1)) - (0 if turn else BREAK), j
-        begins.append(begin)
-        unders.append(under)
-        links.append(link)
+        for h in range(i0 - 2 * EDGE, i0 + 4):
+            for j in ending.get(h, ()):
+                e0, e1, h0, h1 = tiles[j]
+                gap = i0 - h1
+                if i1 <= h1:
+                    continue
+                _, _, last, tail = spots[j]
+                near = -3 <= d0 - e1 <= 4 and abs(d0 - e1 - gap) <= 2
+                turn = tail <= EDGE and head <= EDGE and abs(tail + head - gap) <= 2 and (0 < first - last <= REACH or min(d1 - d0, e1 - e0) >= long_tile)
+                if near or turn:
+                    more = (i1 - max(i0, h1)) - (0 if turn else BREAK)
+                    for begin, (under, _) in states[j].items():
+                        if begin <= i0 and (begin not in own or own[begin][0] < under + more):
+                            own[begin] = (under + more, j)
+        states.append(own)
         ending.setdefault(i1, []).append(k)
-        if (i1 - begin, under) > (best[1] - best[0], best[2]):
-            best = (begin, i1, under, k)
+        for begin, (under, _) in own.items():
+            if under >= COVERAGE * (i1 - begin) and (i1 - begin, under) > (best[1] - best[0], best[2]):
+                best = (begin, i1, under, k)
     path, k = [], best[3]
     while k >= 0:
         path.append(tiles[k])
-        k = links[k]
+        k = states[k][best[0]][1]
     return (*best[:3], path[::-1])
 
 
@@ -283,8 +287,8 @@ def words_under(item: Item, begin: int, end: int) -> int:
 def leaked_words(page: Page, found: list[tuple[int, int, int]], item: Item) -> int:
     """Words or characters under the best chain of tiles, from all matches of a page and an item."""
     tiles = mark(joined(found, page, item), TILE[item.unspaced], len(page.letters))
-    begin, end, under, _ = chains(tiles, page, item)
-    return words_under(item, begin, end) if under >= COVERAGE * (end - begin) else 0
+    begin, end, _, _ = chains(tiles, page, item)
+    return words_under(item, begin, end)
 
 
 def _least_letters(item: Item) -> int:

@@ -192,6 +192,20 @@ def test_no_pair_is_lost_before_tiling():
     assert got == want and len(want) > 40
 
 
+def test_noisy_ends_do_not_hide_a_clean_chain():
+    item = leakage.make_item(1, _passage(random.Random(3), 40))
+    n, size = 150, len(item.letters)
+    page = leakage.Page(item.letters, item.figures, [0, size])
+    assert size > n + 46
+    noisy, i = [], n  # tiles linked over breaks, which cost most of their letters
+    while i + 6 <= size:
+        noisy.append((i, i + 6, i, i + 6))
+        i += 6
+    begin, end, under, path = leakage.chains([(0, n, 0, n), *noisy], page, item)
+    assert under >= leakage.COVERAGE * (end - begin) and end - begin >= n and begin == 0
+    assert path[0] == (0, n, 0, n)
+
+
 def test_matches_are_maximal():
     item, page = leakage.make_item(1, "abcdefghij klmnop"), leakage.make_page("xx abcdefghij\nklmnop yy")
     found = leakage.matches(page, leakage.hashes(page.letters, leakage.TILE[False]), item)
