@@ -192,6 +192,17 @@ def test_no_pair_is_lost_before_tiling():
     assert got == want and len(want) > 40
 
 
+def test_parts_far_apart_on_a_long_page_meet():
+    rng = random.Random(21)
+    item = _passage(rng, 40)
+    words = item.split()
+    filler = "\n".join(_passage(rng, 6) for _ in range(300))
+    page = "\n".join([filler[:300], " ".join(words[5:15]), filler, " ".join(words[15:25]), filler[-300:]])
+    assert len(page) > 9000
+    [hits] = leakage.search(leakage.Index([leakage.make_item(1, item)]), [page])
+    assert hits and hits[0][1] >= 20
+
+
 def test_noisy_ends_do_not_hide_a_clean_chain():
     item = leakage.make_item(1, _passage(random.Random(3), 40))
     n, size = 150, len(item.letters)
