@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import hierarchy as hi
 from ledgerloom.operators import late_views, redelivery, rejects, valid_at
 from ledgerloom.plans import preparation
+from ledgerloom.streaming import live
 
 DAY = late_views.DAY_US
 
@@ -163,6 +164,18 @@ def test_one_copy_of_each(spark):
     assert redelivery.keep_one(stored, None, "id", ["n"]).count() == 1
 
 
+def test_a_stream_keeps_first_deliveries_however_late(spark, tmp_path):
+    schema, day = "id string, n long, at timestamp", "timestamp'2024-01-01'"
+    batches = [[("a", 1, 0), ("a", 0, 0), ("b", 2, 90), ("", 3, 0), (None, 4, 0)], [("a", 5, 95), ("c", 6, 1), ("", 7, 95), ("b", 8, 400)], [("c", 9, 500), ("d", 10, 0)]]
+    for rows in batches:
+        df = spark.createDataFrame(rows, "id string, n long, days int").selectExpr("id", "n", f"{day} + make_interval(0, 0, 0, days) AS at")
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        live.start_once(stream, "id", ["n"], f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination(60)
+    got = sorted(r["n"] for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [0, 2, 3, 4, 6, 7, 10]
+
+
 # ---- validity
 def test_best_known_against_scan(spark):
     rng = random.Random(5)
