@@ -10,8 +10,8 @@ ID_PATTERN = r"\A[A-Za-z0-9._-]{1,128}\z"
 ORGS = ("CPL", "TRI", "NDX")
 PAYERS = ("AET", "UHC", "HUM", "BCB", "CIG", "MCR", "MCD", "SELF", "")
 EVENT_TYPES = (
-    "SUBMITTED", "CORRECTED", "VOID_VERSION", "CLOSED_NO_PAYMENT", "REOPENED",
-    "ADJUSTMENT", "PAYMENT_POSTED", "PAYMENT_REVERSED", "STATUS_UPDATED", "UNKNOWN",
+    "SUBMITTED", "CORRECTED", "PAYMENT_POSTED", "PAYMENT_REVERSED", "VOID_VERSION",
+    "CLOSED_NO_PAYMENT", "REOPENED", "ADJUSTMENT", "STATUS_UPDATED", "UNKNOWN",
 )
 COVERAGE = ("complete", "partial", "unknown")
 PAYER_CATEGORY = {

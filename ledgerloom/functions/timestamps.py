@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The contract's own form: ISO-8601 with offset.
+# Fixed value: the contract's own form, ISO-8601 with offset.
 CONTRACT_PATTERN = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})\z"
 
 # Hours from UTC of zone abbreviations.
@@ -99,6 +99,11 @@ def written_offset(fields: Column) -> Column:
     return F.when(zone.rlike(r"^[+-]"), by_figures).when(zone != "", F.try_element_at(table, zone) * 3600).cast("long")
 
 
+def bracketed_zone(stamp: Column) -> Column:
+    """The zone name in brackets at a stamp's end; '' if there is none."""
+    return F.regexp_extract(stamp, r"\[([^\]]*)\]\s*$", 1)
+
+
 def names_zone(fields: Column) -> Column:
     return F.get(fields, 8) != ""
 
@@ -109,7 +114,14 @@ def epoch_micros(stamp: Column) -> Column:
     return F.when(stamp.rlike(EPOCH_PATTERN), F.when(F.length(stamp) == 10, value * 1_000_000).when(F.length(stamp) == 13, value * 1000).otherwise(value))
 
 
+def conforms(stamp: Column) -> Column:
+    """Whether a stamp is written in the contract's form; null counts as not."""
+    return F.coalesce(stamp.rlike(CONTRACT_PATTERN), F.lit(False))
+
+
 def contract_micros(stamp: Column) -> Column:
-    """The instant of a stamp in the contract's form only; naive or malformed stamps give null."""
-    fields = F.split(F.when(stamp.rlike(CONTRACT_PATTERN), F.regexp_replace(stamp, *_ISO)), r"\|", -1)
-    return local_micros(fields, F.lit("MDY")) - written_offset(fields) * 1_000_000
+    """The instant of a stamp in the contract's form only; naive or malformed stamps, and dates that don't exist, give null.
+
+    The form is what the engine's own cast reads, so nothing is taken apart; digits past microseconds are dropped.
+    """
+    return F.when(conforms(stamp) & ~stamp.startswith("0000"), F.unix_micros(stamp.try_cast("timestamp")))

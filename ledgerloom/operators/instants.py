@@ -2,13 +2,18 @@
 
 Zone rules become offset intervals on the local time line, exploded to the local years that they touch. A parsed wall clock is
 joined as-of to the intervals of its zone and year: two matching intervals mean an ambiguous time, none a time that was skipped,
-one gives the offset directly. The interval table is bounded by the zone database: at most about 600 zones x 140 years.
+one gives the offset directly. The interval table is bounded by the zone database: at most about 600 zones x 270 years. Stamps in the
+contract's own form carry their offset and are read by the engine's cast.
 """
 
 from __future__ import annotations
 
+import functools
+import struct
 import zoneinfo
 from datetime import datetime, timedelta, timezone
+from importlib import resources
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +22,8 @@ from pyspark.sql import types as T
 from ledgerloom.functions import timestamps as ts
 from ledgerloom.session import fresh
 
-#: Years for which offset changes are worked out; outside of them the nearest offset holds.
-FIRST_YEAR, LAST_YEAR = 1970, 2100
+#: Years for which offset changes are worked out: from before the first change of any zone; outside of them the nearest offset holds.
+FIRST_YEAR, LAST_YEAR = 1830, 2100
 _FAR = 1 << 62
 INTERVALS = T.StructType([
     T.StructField("zone", T.StringType()), T.StructField("year", T.IntegerType()),
@@ -32,13 +37,28 @@ def _offset_at(zone: zoneinfo.ZoneInfo, second: int) -> int:
     return int((datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=second)).astimezone(zone).utcoffset().total_seconds())
 
 
-def offset_intervals(name: str, first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR) -> list[tuple[int, int]]:
-    """(UTC second from which it holds, offset) of a zone, found by bisecting half-day steps at which the offset changed."""
+def _recorded_changes(name: str) -> list[int]:
+    """UTC seconds at which the zone's compiled file (RFC 8536) records a change."""
+    folder = next((f for f in zoneinfo.TZPATH if Path(f, name).is_file()), None)
+    data = Path(folder, name).read_bytes() if folder else resources.files("tzdata.zoneinfo").joinpath(*name.split("/")).read_bytes()
+    header = struct.Struct(">4sc15x6l")
+    _, version, n_ut, n_std, n_leap, n_time, n_type, n_char = header.unpack_from(data)
+    at = header.size
+    if version >= b"2":  # the first block has 32-bit times, the second all of them
+        at += n_time * 5 + n_type * 6 + n_char + n_leap * 8 + n_std + n_ut
+        n_time = header.unpack_from(data, at)[5]
+        at += header.size
+    return list(struct.unpack_from(f">{n_time}{'q' if version >= b'2' else 'l'}", data, at))
+
+
+@functools.cache
+def offset_intervals(name: str, first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR) -> tuple[tuple[int, int], ...]:
+    """(UTC second from which it holds, offset) of a zone: the recorded changes, and behind the last one those found by bisecting half days."""
     zone = zoneinfo.ZoneInfo(name)
     begin, end = (int(datetime(y, 1, 1, tzinfo=timezone.utc).timestamp()) for y in (first_year, last_year + 1))
+    recorded = [t for t in _recorded_changes(name) if begin < t < end]
     found, at, offset = [(-_FAR, _offset_at(zone, begin))], begin, _offset_at(zone, begin)
-    while at < end:
-        then = min(at + 43200, end)
+    for then in [*recorded, *range(max([begin, *recorded]) + 43200, end, 43200), end]:
         if (changed := _offset_at(zone, then)) != offset:
             low, high = at, then
             while high - low > 1:
@@ -47,7 +67,12 @@ def offset_intervals(name: str, first_year: int = FIRST_YEAR, last_year: int = L
             found.append((high, changed))
             offset = changed
         at = then
-    return found
+    return tuple(found)
+
+
+def _known_zone(name: str) -> Column:
+    names = ", ".join(f"'{z}'" for z in sorted(zoneinfo.available_timezones()))
+    return F.expr(f"`{name}` in ({names})")
 
 
 def interval_table(spark: SparkSession, zones: list[str], first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR) -> DataFrame:
@@ -68,8 +93,13 @@ def interval_table(spark: SparkSession, zones: list[str], first_year: int = FIRS
 
 def source_zones(systems: DataFrame) -> list[str]:
     """Distinct zones of the source table: no more than the zone database has names (about 600)."""
-    known = sorted(zoneinfo.available_timezones())
-    return [r[0] for r in systems.select("tz_name").where(F.col("tz_name").isin(known)).distinct().collect()]
+    return [r[0] for r in systems.select("tz_name").where(_known_zone("tz_name")).distinct().collect()]
+
+
+def written_zones(stamps: DataFrame, stamp: str) -> list[str]:
+    """Distinct zones that stamps name in brackets, as in [Europe/Berlin]: no more than the zone database has names."""
+    named = stamps.where(F.col(stamp).contains("[")).select(ts.bracketed_zone(F.col(stamp)).alias("zone"))
+    return [r[0] for r in named.where(_known_zone("zone")).distinct().collect()]
 
 
 def resolve_local(df: DataFrame, intervals: DataFrame, local: str, zone: str) -> DataFrame:
@@ -98,12 +128,14 @@ def to_instants(df: DataFrame, stamp: str, systems: DataFrame, system: str = "so
     give null. Repeated rows stay repeated. Columns of df that clash with the two results are replaced.
     """
     spark = df.sparkSession
-    intervals = intervals if intervals is not None else interval_table(spark, source_zones(systems))
+    intervals = intervals if intervals is not None else interval_table(spark, [*source_zones(systems), *written_zones(df, stamp)])
     keep = [c for c in df.columns if c not in ("utc_micros", "local_kind")]
-    names = {n: fresh(df, f"_ll_{n}") for n in ("s", "f", "zone", "order", "local", "own", "sys")}
+    names = {n: fresh(df, f"_ll_{n}") for n in ("s", "f", "zone", "order", "local", "own", "sys", "direct")}
     per_system = systems.groupBy("source_system").agg(F.min("tz_name").alias(names["zone"]), F.min("date_order").alias(names["order"]))
     per_system = per_system.withColumnRenamed("source_system", names["sys"])
-    out = df.select(*keep, ts.stripped(F.col(stamp)).alias(names["s"]))
+    direct = ts.contract_micros(F.col(stamp))
+    other = F.when(~ts.conforms(F.col(stamp)), ts.stripped(F.col(stamp)))
+    out = df.select(*keep, direct.alias(names["direct"]), other.alias(names["s"]))
     out = out.join(F.broadcast(per_system), F.col(system) == F.col(names["sys"]), "left")
     out = out.withColumn(names["f"], ts.canonical_fields(F.col(names["s"])))
     fields = F.col(names["f"])
@@ -112,10 +144,10 @@ def to_instants(df: DataFrame, stamp: str, systems: DataFrame, system: str = "so
     zone = F.when(~ts.names_zone(fields), F.when(bracket != "", bracket).otherwise(F.col(names["zone"])))
     out = resolve_local(out.withColumn(names["zone"], zone), intervals, names["local"], names["zone"])
     micros = F.when(ts.names_zone(fields), F.col(names["local"]) - F.col(names["own"]) * 1_000_000).otherwise(F.col(names["local"]) - F.col("offset_s") * 1_000_000)
-    utc = F.coalesce(ts.epoch_micros(F.col(names["s"])), micros)
+    utc = F.coalesce(names["direct"], ts.epoch_micros(F.col(names["s"])), micros)
     return out.select(*keep, utc.alias("utc_micros"), "local_kind")
 
 
 def nonconforming(stamp: str) -> Column:
     """Stamps that aren't written in the contract's form."""
-    return ~F.col(stamp).rlike(ts.CONTRACT_PATTERN)
+    return F.col(stamp).isNotNull() & ~ts.conforms(F.col(stamp))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import lineage_id, payer_category
-from ledgerloom.operators.hierarchy import hierarchy
+from ledgerloom.operators import ancestry
 from ledgerloom.session import cut
 
 
@@ -21,22 +21,10 @@ def roots(records: DataFrame, links: DataFrame) -> DataFrame:
 
     A record on a cycle is its own root; one whose way up runs into a cycle has the record where it enters as root.
     """
-    nodes = records.select("record_id").distinct().join(parents_of(links), "record_id", "left")
-    tree = cut(hierarchy(nodes, "record_id", "parent_id", with_path=False))
-    flat = tree.where("not is_cyclic").select(F.col("node").alias("record_id"), F.col("root").alias("root_id"))
-    rest = tree.where("is_cyclic").select("node", "parent")
-    if rest.isEmpty():
-        return flat
-    core = rest
-    while True:  # leaves fall off until only cycles are left
-        inner = cut(core.join(core.select(F.col("parent").alias("node")).distinct(), "node", "left_semi"))
-        if inner.count() == core.count():
-            break
-        core = inner
-    on_cycle = core.select("node", F.lit(True).alias("on_cycle"))
-    opened = rest.join(on_cycle, "node", "left").select("node", F.when(F.col("on_cycle").isNull(), F.col("parent")).alias("parent"))
-    tails = hierarchy(opened, "node", "parent", with_path=False)
-    return flat.unionByName(tails.select(F.col("node").alias("record_id"), F.col("root").alias("root_id")))
+    known = records.select("record_id").distinct()
+    linked = parents_of(links).join(known, "record_id", "left_semi").join(known.select(F.col("record_id").alias("parent_id")), "parent_id", "left_semi")
+    tree = ancestry.forest(cut(linked.select(F.col("record_id").alias("node"), F.col("parent_id").alias("parent"))))
+    return known.join(tree.select(F.col("node").alias("record_id"), "root"), "record_id", "left").select("record_id", F.coalesce("root", "record_id").alias("root_id"))
 
 
 def complete_coverage(windows: DataFrame) -> DataFrame:

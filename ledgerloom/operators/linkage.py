@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import version_order
 from ledgerloom.functions.timestamps import stripped
+from ledgerloom.operators import ancestry
 from ledgerloom.session import cut
 
 BILL_KEY = ("org_token", "source_system", "bill_id", "version_id")
@@ -16,6 +17,7 @@ CONTENT = ("previous_record_id", "payer_token", "service_token", "amount", "curr
 EVENT_KEY = ("org_token", "source_system", "bill_record_id", "event_type", "event_us", "amount", "currency")
 #: Order in which rows count as seen.
 SEEN = ("available_us", "record_id", "source_ref")
+# Names of the rules.
 R1, R2, R3, MANUAL = "R1_native_previous_id", "R2_same_bill_id_versions", "R3_amount_date_window", "M1_manual_decision"
 
 
@@ -129,29 +131,10 @@ def by_priority(*rules: DataFrame) -> DataFrame:
     return out.groupBy("left_id", "right_id").agg(F.min("r").alias("r")).select("left_id", "right_id", "r.*")
 
 
-def _native_cycles(proposals: DataFrame, parents: DataFrame) -> DataFrame:
-    """Proposals whose right record is met on the walk over native predecessors that starts at the left one.
-
-    All walks go in step. A walk ends where there is no predecessor, where it is back at its start, or after as many steps as
-    there are linked records.
-    """
-    walk = cut(proposals.select("left_id", "right_id", F.col("left_id").alias("at")))
-    hits, left = walk.where("at = right_id").select("left_id", "right_id"), parents.count()
-    step = parents.select(F.col("node").alias("at"), "parent")
-    walk = walk.where("at <> right_id")
-    while left > 0:
-        left -= 1
-        walk = cut(walk.join(step, "at").select("left_id", "right_id", F.col("parent").alias("at")))
-        if walk.isEmpty():
-            break
-        hits = hits.union(walk.where("at = right_id").select("left_id", "right_id"))
-        walk = walk.where("at <> right_id and at <> left_id")
-    return cut(hits.distinct())
-
-
 def check_links(proposals: DataFrame, bills: DataFrame) -> DataFrame:
     """Adds verdict: DANGLING_REFERENCE, CROSS_ORG_REFERENCE, CYCLE_REFERENCE or accepted, the first that holds; and is_late_parent.
 
+    A link is a cycle if its right record is met on the way over native predecessors that starts at the left one.
     is_late_parent marks links by R1 and R2 whose predecessor was submitted later; they are accepted all the same.
     """
     known = bills.groupBy("record_id").agg(F.min(F.struct("available_us", "org_token", "submitted_us")).alias("b"))
@@ -161,8 +144,9 @@ def check_links(proposals: DataFrame, bills: DataFrame) -> DataFrame:
     previous = stripped(F.col("previous_record_id"))
     parents = bills.where(previous != "").groupBy(F.col("record_id").alias("node")).agg(F.min(previous).alias("parent"))
     parents = cut(parents.join(known.select(F.col("record_id").alias("parent")), "parent", "left_semi").select("node", "parent"))
+    tree = cut(ancestry.forest(parents))
     inside = both.where("_l is not null and _r is not null and _l.org_token = _r.org_token").select("left_id", "right_id")
-    cycles = _native_cycles(inside, parents).withColumn("_c", F.lit(True))
+    cycles = ancestry.reaches(inside, tree, "left_id", "right_id").select(F.col("below").alias("left_id"), F.col("above").alias("right_id"), F.lit(True).alias("_c"))
     judged = both.join(cycles, ["left_id", "right_id"], "left")
     verdict = F.when(F.col("_l").isNull() | F.col("_r").isNull(), "DANGLING_REFERENCE").when(~F.col("_l.org_token").eqNullSafe(F.col("_r.org_token")), "CROSS_ORG_REFERENCE").when(F.col("_c"), "CYCLE_REFERENCE").otherwise("accepted")
     late = F.coalesce(F.col("rule").isin(R1, R2) & (F.col("_l.submitted_us") > F.col("_r.submitted_us")), F.lit(False))

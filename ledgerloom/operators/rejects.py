@@ -1,7 +1,8 @@
 """Rows that fail to parse, separated with the reason, by patterns generated from a schema.
 
 A raw record is held against one anchored pattern for its whole row, value rules included. What fails goes through patterns of
-one more field each: the first prefix that doesn't fit names the first broken field. Every pattern uses possessive repeats, so
+one more field each: the first prefix that doesn't fit names the first broken field, and with it the reason; where values are
+wrong the search goes on behind that field, so that every reason comes out. Every pattern uses possessive repeats, so
 that matching takes linear time and constant stack on records of any length.
 """
 
@@ -13,6 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.session import fresh
+
 _BARE, _QUOTED = r'[^",\r\n]*+', r'"[^"]*+(?:""[^"]*+)*+"'
 FIELD = rf"(?:{_QUOTED}|{_BARE})"
 
@@ -60,9 +63,9 @@ def shape(n: int) -> str:
     return rf"\A{FIELD}" + (rf"(?:,{FIELD}){{{n - 1}}}" if n > 1 else "") + r"\z"
 
 
-def prefix(schema: RowSchema, k: int, ruled: bool) -> str:
-    """The first k fields, with their value rules if ruled, up to a comma or the end."""
-    parts = [_value(schema.rules[c][0]) if ruled and c in schema.rules else FIELD for c in schema.columns[:k]]
+def prefix(schema: RowSchema, k: int, ruled: Sequence[str] = ()) -> str:
+    """The first k fields up to a comma or the end; those named in `ruled` with their value rules."""
+    parts = [_value(schema.rules[c][0]) if c in ruled else FIELD for c in schema.columns[:k]]
     return r"\A" + ",".join(parts) + r"(?:,|\z)"
 
 
@@ -74,27 +77,33 @@ def record(raw: Column) -> Column:
     return F.regexp_replace(F.coalesce(raw, F.lit("")), r"\r\z", "")
 
 
-def _first_broken(text: Column, schema: RowSchema, ruled: bool) -> Column:
-    """1-based number of the first field whose prefix pattern fails; one past the columns if all fit."""
-    chain = None
-    for k in range(1, len(schema.columns) + 1):
-        fails = ~text.rlike(prefix(schema, k, ruled))
-        chain = F.when(fails, k) if chain is None else chain.when(fails, k)
-    return chain.otherwise(len(schema.columns) + 1)
+def _broken_shape(text: Column, schema: RowSchema) -> Column:
+    """struct<n, reason>: the first field at which the record stops being well formed, found by prefixes of one more field each.
+
+    A record that ends before the field lacks columns; else the field itself is malformed. n is one past the columns, without
+    reason, for a whole record of the right count; what goes on behind the last column has too many, or is malformed there.
+    """
+    columns, chain = schema.columns, None
+    of = lambda n, reason: F.struct(F.lit(n).alias("n"), F.lit(reason).cast("string").alias("reason"))
+    for k in range(1, len(columns) + 1):
+        short = F.when(text.rlike(shape(k - 1)), of(k, "column_count")).otherwise(of(k, "quoting")) if k > 1 else of(k, "quoting")
+        fails = ~text.rlike(prefix(schema, k))
+        chain = F.when(fails, short) if chain is None else chain.when(fails, short)
+    n = len(columns) + 1
+    return chain.when(text.rlike(shape(len(columns))), of(n, None)).when(text.rlike(WELL_FORMED), of(n, "column_count")).otherwise(of(n, "quoting"))
 
 
-def _reasons(text: Column, schema: RowSchema) -> Column:
+def _broken_values(text: Column, schema: RowSchema) -> Column:
+    """array<struct<n, reason>>: the fields of a well-formed record that break their value rule, in order.
+
+    Each ruled column has the prefix that ends with it. The first one that doesn't fit is the first broken field; the search then
+    goes on behind it, with that field set free, until the record ends.
+    """
     found = []
-    for reason in dict.fromkeys(r for _, r in schema.rules.values()):
-        bad = F.lit(False)
-        for c, (rule, name) in schema.rules.items():
-            if name == reason:
-                k = schema.columns.index(c)
-                lead = rf"{FIELD}," * k
-                bad = bad | ~text.rlike(rf"\A{lead}{_value(rule)}(?:,|\z)")
-        found.append(F.when(bad, F.lit(reason)))
-    values = F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
-    return F.when(~text.rlike(WELL_FORMED), F.array(F.lit("quoting"))).when(~text.rlike(shape(len(schema.columns))), F.array(F.lit("column_count"))).otherwise(values)
+    for c, (_, reason) in sorted(schema.rules.items(), key=lambda x: schema.columns.index(x[0])):
+        n = schema.columns.index(c) + 1
+        found.append(F.when(~text.rlike(prefix(schema, n, (c,))), F.struct(F.lit(n).alias("n"), F.lit(reason).alias("reason"))))
+    return F.array_compact(F.array(*found)) if found else F.array().cast("array<struct<n:int,reason:string>>")
 
 
 def check_records(df: DataFrame, raw: str = "raw", feed: str = "feed", feeds: Mapping[str, RowSchema] = FEEDS) -> DataFrame:
@@ -104,15 +113,18 @@ def check_records(df: DataFrame, raw: str = "raw", feed: str = "feed", feeds: Ma
     has fields past its last column. Records of an unknown or null feed have the reason 'unknown_feed'. Repeated rows stay
     repeated; columns named reasons or broken_field are replaced.
     """
-    text = record(F.col(raw))
-    reasons, broken = F.array(F.lit("unknown_feed")), F.lit(None).cast("string")
+    text, bad = fresh(df, "_ll_text"), fresh(df, "_ll_bad")
+    out = df.withColumn(text, record(F.col(raw)))
+    record_text, broken, known = F.col(text), F.lit(None).cast("array<struct<n:int,reason:string>>"), F.coalesce(F.col(feed).isin(*feeds), F.lit(False))
     for name, schema in feeds.items():
-        mine, good = F.col(feed) == name, text.rlike(whole_row(schema))
-        n = F.least(_first_broken(text, schema, False), _first_broken(text, schema, True))
-        named = F.when(n > len(schema.columns), F.lit("")).otherwise(F.element_at(F.array(*map(F.lit, schema.columns), F.lit("")), n))
-        reasons = F.when(mine, F.when(good, F.array().cast("array<string>")).otherwise(_reasons(text, schema))).otherwise(reasons)
-        broken = F.when(mine, F.when(~good, named)).otherwise(broken)
-    return df.withColumns({"reasons": reasons, "broken_field": broken})
+        shaped = _broken_shape(record_text, schema)
+        fields = F.when(record_text.rlike(whole_row(schema)), F.array().cast("array<struct<n:int,reason:string>>")).when(record_text.rlike(shape(len(schema.columns))), _broken_values(record_text, schema)).otherwise(F.array(shaped))
+        broken = F.when(F.col(feed) == name, fields).otherwise(broken)
+    out = out.withColumn(bad, broken)
+    names = F.create_map(*[x for name, schema in feeds.items() for x in (F.lit(name), F.array(*map(F.lit, schema.columns), F.lit("")))])
+    first = F.get(F.col(bad), F.lit(0))["n"]
+    reasons = F.when(known, F.array_distinct(F.transform(bad, lambda b: b["reason"]))).otherwise(F.array(F.lit("unknown_feed")))
+    return out.withColumns({"reasons": reasons, "broken_field": F.when(known, F.get(F.try_element_at(names, F.col(feed)), first - 1))}).drop(text, bad)
 
 
 def load_records(checked: DataFrame, feed_name: str, raw: str = "raw", feed: str = "feed", feeds: Mapping[str, RowSchema] = FEEDS) -> DataFrame:

@@ -16,11 +16,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Stamps that aren't in the contract's form but name an instant."""
     tune(spark)
     systems, parts = table(spark, d, "source_systems"), None
-    intervals = instants.interval_table(spark, instants.source_zones(systems))
     for name, key, stamp in STAMPS:
         rows = table(spark, d, name).where(instants.nonconforming(stamp)).select(F.lit(name).alias("source_table"), F.col(key).alias("row_key"), F.lit(stamp).alias("field_name"), "source_system", F.col(stamp).alias("stamp"))
         parts = rows if parts is None else parts.unionByName(rows)
-    found = instants.to_instants(parts, "stamp", systems, intervals=intervals)
+    found = instants.to_instants(parts, "stamp", systems)
     return found.where("utc_micros is not null").select("source_table", "row_key", "field_name", "utc_micros").distinct()
 
 
@@ -31,44 +30,45 @@ def event_log(spark: SparkSession, d: str) -> DataFrame:
     return events.groupBy("event_id").agg(F.min("utc_micros").alias("event_us"), F.min("known_us").alias("known_us"), F.max("amount_minor").alias("amount"))
 
 
+P2_KEYS = ["record_kind"]
+#: Batch runs over the time in which records become known. The figures after the last run don't depend on it.
+RUNS = 4
+
+
 def _p2_log(spark: SparkSession, d: str) -> DataFrame:
-    """record_kind, row_key, event_us, known_us and amount of events and allocations. Repeated rows of an allocation are kept."""
-    events = event_log(spark, d)
+    """record_kind, row_key, event_us, known_us and amount of events and allocations, once each. Stamps are parsed once, for both."""
+    events = cut(event_log(spark, d))
     amount = F.when(F.col("allocated_amount_minor").rlike(r"\A[0-9]{1,18}\z"), F.col("allocated_amount_minor").try_cast("long"))
-    allocations = table(spark, d, "allocations").select("allocation_id", F.col("payment_event_id").alias("_pay"), F.unix_micros("available_at").alias("known_us"), amount.alias("amount"))
+    allocations = table(spark, d, "allocations").select("allocation_id", F.col("payment_event_id").alias("_pay"), F.unix_micros("available_at").alias("known_us"), amount.alias("amount")).distinct()
     paid = allocations.join(events.select(F.col("event_id").alias("_pay"), "event_us"), "_pay")
     log = events.select(F.lit("event").alias("record_kind"), F.col("event_id").alias("row_key"), "event_us", "known_us", "amount")
     return log.unionByName(paid.select(F.lit("allocation").alias("record_kind"), F.col("allocation_id").alias("row_key"), "event_us", "known_us", "amount"))
 
 
-#: Days between batch runs. The figures after the last run don't depend on it.
-RUN_DAYS = 180
+def _run_views(log: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(routed log, first figures, batch view after the last run, refused figures): RUNS batch runs while records become known, the last past every cut-off."""
+    log = cut(late_views.route(log).where("period_us is not null"))
+    low, high, last = (int(x or 0) for x in log.agg(F.min("known_us"), F.max("known_us"), F.max("period_us")).first())
+    step = max(1, -(-(high - low) // RUNS))
+    end = max(high, last + (1 + late_views.CUTOFF_DAYS) * late_views.DAY_US)
+    return log, *late_views.layers(log, [*range(low, high, step), end], P2_KEYS, "amount", keep=cut)
 
 
 def _daily(log: DataFrame) -> DataFrame:
-    """Per record_kind and UTC day of event time: first figures, those after the last batch run, whether frozen, and what the cut-off shut out.
-
-    Batch runs follow each other every RUN_DAYS from the first record known until the cut-off of the last day and the last record
-    have passed.
-    """
-    keys, day_us = ["record_kind"], late_views.DAY_US
-    log = cut(late_views.route(log).where("period_us is not null").select(*keys, "period_us", "known_us", "route", "amount"))
-    low, high, last = (int(x or 0) for x in log.agg(F.min("known_us"), F.max("known_us"), F.max("period_us")).first())
-    end = max(high, last + (1 + late_views.CUTOFF_DAYS) * day_us)
-    first, view = late_views.scheduled(log, [*range(low, end, RUN_DAYS * day_us), end], keys, "amount", keep=cut)
-    first = first.select(*keys, "period_us", F.col("n").alias("n_first"), F.col("amount").alias("amount_first"))
-    shut = late_views.missed(log).where("route = 'too_late'").groupBy(*keys, "period_us").agg(F.count(F.lit(1)).alias("n_too_late"), F.sum(F.col("amount").cast("decimal(38,0)")).alias("amount_too_late"))
-    days = view.join(first, [*keys, "period_us"], "full").join(shut, [*keys, "period_us"], "full")
-    day = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("period_us") / day_us).cast("int")), "yyyy-MM-dd")
+    """Per record_kind and UTC day of event time: first figures, those after the last batch run, whether frozen, and what the cut-off shut out."""
+    _, first, view, refused = _run_views(log)
+    first = first.select(*P2_KEYS, "period_us", F.col("n").alias("n_first"), F.col("amount").alias("amount_first"))
+    refused = refused.select(*P2_KEYS, "period_us", F.col("n").alias("n_too_late"), F.col("amount").alias("amount_too_late"))
+    days = view.join(first, [*P2_KEYS, "period_us"], "full").join(refused, [*P2_KEYS, "period_us"], "full")
+    day = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("period_us") / late_views.DAY_US).cast("int")), "yyyy-MM-dd")
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return days.select(*keys, day.alias("day"), count("n_first"), "amount_first", count("n"), "amount", F.coalesce("is_frozen", F.lit(True)).alias("is_frozen"), count("n_too_late"), "amount_too_late")
+    return days.select(*P2_KEYS, day.alias("day"), count("n_first"), "amount_first", count("n"), "amount", F.coalesce("is_frozen", F.lit(True)).alias("is_frozen"), count("n_too_late"), "amount_too_late")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Events and allocations that batch runs correct ('late') or the cut-off shuts out ('too_late')."""
+    """Events and allocations that batch runs correct ('late') or frozen days refuse ('too_late')."""
     tune(spark)
-    late = late_views.missed(late_views.route(_p2_log(spark, d)))
-    return late.select("record_kind", "row_key", F.col("route").alias("late_kind")).distinct()
+    return late_views.corrections(*_run_views(_p2_log(spark, d)), P2_KEYS).select("record_kind", "row_key", "late_kind").distinct()
 
 
 def p2_daily(spark: SparkSession, d: str) -> DataFrame:
@@ -81,11 +81,11 @@ def p2_daily(spark: SparkSession, d: str) -> DataFrame:
 def p2_views(spark: SparkSession, d: str) -> DataFrame:
     """Per kind of record, events and allocations, and UTC day of event time: numbers and amounts at first, after the last batch run, and shut out."""
     tune(spark)
-    return _daily(_p2_log(spark, d).distinct())
+    return _daily(_p2_log(spark, d))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Rows that don't hold a whole contract record or valid values, with every reason."""
+    """Rows that don't hold a whole contract record or valid values, with every reason; lines of no known feed are set aside as 'unknown_feed'."""
     tune(spark)
     raw = rejects.check_records(table(spark, d, "raw_lines").select("line_id", "feed", "raw"))
     parts = [rejects.split_rows(raw)[1].select(F.lit("raw_lines").alias("source_table"), F.col("line_id").cast("string").alias("row_key"), "reasons")]
@@ -93,7 +93,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
         rows = rejects.check_columns(table(spark, d, name).select(key, *schema.rules), schema.rules)
         parts.append(rejects.split_rows(rows)[1].select(F.lit(name).alias("source_table"), F.col(key).cast("string").alias("row_key"), "reasons"))
     found = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    return found.select("source_table", "row_key", F.explode("reasons").alias("reason")).where("reason <> 'unknown_feed'").distinct()
+    return found.select("source_table", "row_key", F.explode("reasons").alias("reason")).distinct()
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -160,4 +160,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return dropped.select("delivery_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_daily, p2_views, p3_found, p4_found, p4_descendants, p6_found, p7_found)}
+def p7_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The copy of each message that stays when the batch received last meets what is stored: stored copies win over new ones."""
+    tune(spark)
+    rows = table(spark, d, "billing_events").select("event_id", "delivery_id", "batch_id")
+    last = rows.agg(F.max_by("batch_id", "delivery_id")).first()[0]
+    is_new = F.col("batch_id").eqNullSafe(F.lit(last))
+    return redelivery.keep_one(rows.where(~is_new), rows.where(is_new), "event_id", ["delivery_id"]).select("delivery_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_daily, p2_views, p3_found, p4_found, p4_descendants, p6_found, p7_found, p7_kept)}

@@ -92,7 +92,13 @@ SQL = {
     "p2_daily": f"""WITH {_LOG} SELECT strftime(make_timestamp(t // {_DAY} * {_DAY}), '%Y-%m-%d') AS day, count(*) FILTER ({_LATE} <= 2 * {_DAY}) AS n_on_time,
       count(*) FILTER ({_LATE} > 2 * {_DAY} AND {_LATE} <= 30 * {_DAY}) AS n_late, count(*) FILTER ({_LATE} > 30 * {_DAY}) AS n_too_late
       FROM ev WHERE t IS NOT NULL AND k IS NOT NULL GROUP BY 1""",
+    "p2_views": f"""WITH {_LOG.replace('min(known) AS k', 'min(known) AS k, max(amount) AS amount').replace('AS known FROM', 'AS known, amount_minor AS amount FROM')},
+      log AS (SELECT 'event' AS record_kind, t, k, amount FROM ev UNION ALL SELECT 'allocation', t, k, amount FROM (SELECT DISTINCT allocation_id, payment_event_id, epoch_us(available_at) AS k, CASE WHEN regexp_full_match(allocated_amount_minor, '[0-9]{{1,18}}') THEN allocated_amount_minor::BIGINT END AS amount FROM allocations) JOIN (SELECT event_id AS payment_event_id, t FROM ev) USING (payment_event_id)),
+      x AS (SELECT *, {_LATE} AS lag FROM log WHERE t IS NOT NULL AND k IS NOT NULL)
+      SELECT record_kind, strftime(make_timestamp(t // {_DAY} * {_DAY}), '%Y-%m-%d') AS day, count(*) FILTER (lag <= 2 * {_DAY}) AS n_first, (sum(amount) FILTER (lag <= 2 * {_DAY}))::DECIMAL(38, 0) AS amount_first, count(*) FILTER (lag <= 30 * {_DAY}) AS n,
+        (sum(amount) FILTER (lag <= 30 * {_DAY}))::DECIMAL(38, 0) AS amount, true AS is_frozen, count(*) FILTER (lag > 30 * {_DAY}) AS n_too_late, (sum(amount) FILTER (lag > 30 * {_DAY}))::DECIMAL(38, 0) AS amount_too_late FROM x GROUP BY 1, 2""",
     "p3_found": f"""WITH {_REJECT_RAW} SELECT 'raw_lines' AS source_table, line_id::VARCHAR AS row_key, reason FROM bad
+      UNION SELECT 'raw_lines', line_id::VARCHAR, 'unknown_feed' FROM raw_lines WHERE feed IS NULL OR feed NOT IN ('bills', 'events', 'allocations')
       UNION SELECT 'bills', record_id, 'bad_amount' FROM bills WHERE {_not_amount('billed_amount_minor')}
       UNION SELECT 'bills', record_id, 'bad_currency' FROM bills WHERE currency IS NULL OR currency <> 'USD'
       UNION SELECT 'billing_events', delivery_id::VARCHAR, 'bad_flag' FROM billing_events WHERE terminal_flag IS NULL OR terminal_flag NOT IN ('true', 'false', 'True', 'False')
@@ -111,5 +117,7 @@ SQL = {
         FROM snapshots s LEFT JOIN v ON v.org_token = s.org_token AND v.source_system = s.source_system AND v.bill_id = s.bill_id AND v.at <= epoch_us(s.t) GROUP BY ALL)
       SELECT DISTINCT 'event' AS record_kind, event_id AS row_key, seen AS record_id FROM es WHERE seen <> top_id
       UNION SELECT 'snapshot', snapshot_id, coalesce(k.record_id, '') FROM s WHERE m > t OR payer_token IS DISTINCT FROM k.payer OR billed_amount_minor IS DISTINCT FROM k.amount""",
+    "p7_kept": """WITH x AS (SELECT event_id, delivery_id, batch_id IS NOT DISTINCT FROM (SELECT arg_max(batch_id, delivery_id) FROM billing_events) AS is_new FROM billing_events)
+      SELECT delivery_id FROM x WHERE coalesce(event_id, '') = '' OR NOT EXISTS (SELECT 1 FROM x y WHERE y.event_id = x.event_id AND (y.is_new, y.delivery_id) < (x.is_new, x.delivery_id))""",
     "p7_found": "SELECT delivery_id FROM billing_events a WHERE event_id <> '' AND EXISTS (SELECT 1 FROM billing_events b WHERE b.event_id = a.event_id AND b.delivery_id < a.delivery_id)",
 }

@@ -117,7 +117,7 @@ def _few(c: str, least: int) -> tuple[str, str, str, str]:
 
 _ORG = ("org_token", "unknown organisation", "ERROR", "coalesce(org_token NOT IN ('CPL', 'TRI', 'NDX'), true)")
 _USD = ("currency", "not USD", "ERROR", "coalesce(currency <> 'USD', true)")
-_TYPES = "'SUBMITTED', 'CORRECTED', 'VOID_VERSION', 'CLOSED_NO_PAYMENT', 'REOPENED', 'ADJUSTMENT', 'PAYMENT_POSTED', 'PAYMENT_REVERSED', 'STATUS_UPDATED', 'UNKNOWN'"
+_TYPES = "'SUBMITTED', 'CORRECTED', 'PAYMENT_POSTED', 'PAYMENT_REVERSED', 'VOID_VERSION', 'CLOSED_NO_PAYMENT', 'REOPENED', 'ADJUSTMENT', 'STATUS_UPDATED', 'UNKNOWN'"
 _FINDINGS = " UNION ALL ".join((
     _found("bills", "nb0", [_bad_id("record_id"), _ORG, _bad_id("bill_id"), _bad_id("version_id"), ("payer_token", "unknown payer", "ERROR", "coalesce(payer_token, '') NOT IN ('AET', 'UHC', 'HUM', 'BCB', 'CIG', 'MCR', 'MCD', 'SELF', '')"),
         _few("billed_amount_minor", 1), _USD, _bad_time("submitted_at"), _bad_stamp("available_at"), ("available_at", "known before it was submitted", "WARNING", "available_us < submitted_us")]),

@@ -8,8 +8,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
-from pyspark.sql.classic.dataframe import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings that let a plan adapt to skew and size at run time.
 DEFAULTS = {
@@ -50,17 +50,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute df now and keep it in the shared folder, so that its lineage ends here and a lost executor costs nothing.
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """df, computed now and written to the shared folder, and its number of rows, which the same job counts.
 
-    A checkpoint also keeps the optimiser's guess of df's size, and guesses multiply at every join: over rounds of a loop they
-    grow to numbers of millions of digits. The result is therefore made anew from the stored rows, without a guess.
+    The lineage ends at the written table, so a lost executor costs nothing; the optimiser knows its real size, and scans read only
+    the columns that are asked for. The table lives as long as the session's application: `drop_cuts` removes what was written.
     """
-    shared_dir(df.sparkSession)
-    kept = df.checkpoint(eager=True)
     spark = df.sparkSession
-    rows = kept._jdf.queryExecution().toRdd()
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
+    root = shared_dir(spark)
+    path = f"{root}/cut-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    counted = Observation()
+    df.observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), int(counted.get["n"])
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed now and written to the shared folder, so that its lineage ends here."""
+    return cut_counted(df)[0]
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Remove every table that `cut` has written in this application; results that still read them can't be used any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/cut-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:

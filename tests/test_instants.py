@@ -32,6 +32,12 @@ CASES = [
     ("2024-01-02T03:04:05.123456789Z", "A", us(2024, 1, 2, 3, 4, 5) + 123456),
     ("2024-04-15T06:00:00-05:00[America/Chicago]", "A", us(2024, 4, 15, 11)),
     ("2022-06-26T00:03Z", "A", us(2022, 6, 26, 0, 3)),
+    ("2024-03-01T10:00:00[Europe/Berlin]", "A", us(2024, 3, 1, 9)),
+    ("2024-03-01T10:00:00[Not/AZone]", "A", None),
+    ("1960-07-01 10:00", "A", us(1960, 7, 1, 14)),
+    ("1960-01-01 10:00", "A", us(1960, 1, 1, 15)),
+    ("0000-01-01T00:00:00Z", "A", None),
+    ("2023-05-27T14:14:31+19:00", "A", None),
     ("2024-01-02", "U", us(2024, 1, 2)),
     ("2023-02-30T00:00:00Z", "A", None),
     ("2023-01-02T25:00:00Z", "A", None),

@@ -60,6 +60,18 @@ def test_first_and_last_figures_of_a_schedule(spark):
             assert {x: n for r in view.collect() if (n := int(r["amount"])) and (x := (r["k"], r["period_us"]))} == {x: n for x, n in want.items() if n}
 
 
+def test_corrections_are_what_the_runs_changed_and_refused(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["x", "y", None]), (t := rng.randrange(0, 40) * DAY + rng.randrange(DAY)), t + rng.randrange(0, 60 * DAY) // rng.choice([1, 30]), i) for i in range(300)]
+    log = late_views.route(_log(spark, rows)).cache()
+    want = {r["amount"]: r["route"] for r in late_views.missed(log).collect()}
+    for times in ([120 * DAY], [15 * DAY, 44 * DAY, 120 * DAY]):
+        found = late_views.corrections(log, *late_views.layers(log, times, ["k"], "amount"), ["k"]).collect()
+        assert {r["amount"]: r["late_kind"] for r in found} == want and len(found) == len(want)
+    empty = log.limit(0)
+    assert late_views.corrections(empty, *late_views.layers(empty, [1], ["k"], "amount"), ["k"]).count() == 0
+
+
 def test_daily_views_hold_allocations_and_run_the_batches(spark, monkeypatch):
     calls = Counter()
     for name in ("fast_increment", "batch_recompute"):

@@ -156,3 +156,32 @@ def test_model_abstains_and_predicts(spark):
     assert predicted.where("abs(p_none + p_payment + p_close - 1) > 1e-9 or least(p_none, p_payment, p_close) < 0").count() == 0
     thin = risk.with_rates(more, risk.rates(more.limit(3), "x"), "x")
     assert thin.where("p_none is not null").count() == 0
+
+
+def test_ancestors_below_and_on_cycles(spark):
+    """A tail into a cycle, a chain, and a record that is its own parent, against plain walks."""
+    from ledgerloom.operators import ancestry
+
+    up = {"t2": "t1", "t1": "c1", "c1": "c2", "c2": "c3", "c3": "c1", "s": "s"} | {f"n{i}": f"n{i - 1}" for i in range(1, 9)}
+
+    def walk(x):
+        out = [x]
+        while out[-1] in up and up[out[-1]] not in out:
+            out.append(up[out[-1]])
+        return out
+
+    tree = ancestry.forest(spark.createDataFrame(list(up.items()), "node string, parent string")).cache()
+    got = {r["node"]: (r["root"], r["depth"], r["cycle"]) for r in tree.collect()}
+    assert got == {"t2": ("c1", 2, None), "t1": ("c1", 1, None), "c1": ("c1", 0, "c1"), "c2": ("c2", 0, "c1"), "c3": ("c3", 0, "c1"), "s": ("s", 0, "s")} | {f"n{i}": ("n0", i, None) for i in range(1, 9)}
+    ids = sorted(set(up) | set(up.values()) | {"alone"})
+    pairs = [(a, b) for a in ids for b in ids]
+    found = ancestry.reaches(spark.createDataFrame(pairs, "l string, r string"), tree, "l", "r").collect()
+    assert {tuple(r) for r in found} == {(a, b) for a, b in pairs if b in walk(a)}
+    assert ancestry.forest(tree.select("node", "parent").limit(0)).count() == 0
+
+
+def test_a_proposal_below_a_cycle_ends(spark):
+    rows = [bill("a", "1", "1", "b", at=1), bill("b", "2", "1", "a", at=2), bill("t", "3", "1", "a", at=3), bill("z", "4", "1", at=4)]
+    proposals = spark.createDataFrame([("t", "z", linkage.R2), ("t", "b", linkage.R2), ("z", "t", linkage.R2)], "left_id string, right_id string, rule string")
+    got = {(r["left_id"], r["right_id"]): r["verdict"] for r in linkage.check_links(proposals, spark.createDataFrame(rows, BILL)).collect()}
+    assert got == {("t", "z"): "accepted", ("t", "b"): "CYCLE_REFERENCE", ("z", "t"): "accepted"}
