@@ -9,9 +9,10 @@ start of another, as columns and adverts scatter a passage. The words of the ite
 
 from __future__ import annotations
 
-from bisect import bisect_right
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -21,16 +22,16 @@ from pyspark.sql import types as T
 
 MIN_WORDS, MIN_CHARS = 16, 30
 #: Length of the shortest tile, in letters: (alphabets, scripts without blanks).
-TILE = (5, 3)
-#: Items are searched for in blocks of so many, each broadcast: about 60 MB at most with its hashes.
-BLOCK = 20_000
+TILE = (6, 3)
+#: Items are searched for in blocks of so many items, and so many letters in all, each broadcast: about 60 MB at most with its hashes.
+BLOCK, BLOCK_LETTERS = 20_000, 2_000_000
 
 # Letters that scanners take for one another, each line a class named by its first letter.
 CONFUSED = ("oec0", "il1j|!", "nu", "sſ5", "hb6")
 
 
 def _folding() -> np.ndarray:
-    """Class of every code point; 0 for what is dropped."""
+    """Class of every code point below 0x20000; 0 for what is dropped. Letters beyond, all of them Han, are classes of their own."""
     out = np.zeros(0x20000, dtype=np.int32)
     for code in range(0x20000):
         ch = chr(code)
@@ -56,6 +57,11 @@ def fold_table() -> np.ndarray:
     return _FOLD
 
 
+def _classes(codes: np.ndarray) -> np.ndarray:
+    table = fold_table()
+    return np.where(codes < len(table), table[np.minimum(codes, len(table) - 1)], np.where(codes < 0x32000, codes, 0)).astype(np.int32)
+
+
 def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
@@ -87,11 +93,12 @@ class Item:
     unspaced: bool
     tile_hashes: np.ndarray
     tile_order: np.ndarray
+    least: int = 0
 
 
 def unspaced(codes: np.ndarray) -> bool:
     """Mostly Han or kana."""
-    cjk = ((codes >= 0x3040) & (codes < 0x3100)) | ((codes >= 0x3400) & (codes < 0xA000))
+    cjk = ((codes >= 0x3040) & (codes < 0x3100)) | ((codes >= 0x3400) & (codes < 0xA000)) | ((codes >= 0x20000) & (codes < 0x32000))
     return bool(cjk.sum() * 2 > len(codes))
 
 
@@ -101,8 +108,7 @@ def _figures(codes: np.ndarray) -> np.ndarray:
 
 def make_item(item_id: int, text: str) -> Item:
     codes = codes_of(text)
-    table = fold_table()
-    classes = np.where(codes < len(table), table[np.minimum(codes, len(table) - 1)], 0)
+    classes = _classes(codes)
     kept = classes > 0
     letters, by_char = classes[kept], unspaced(codes)
     if by_char:
@@ -113,7 +119,9 @@ def make_item(item_id: int, text: str) -> Item:
         starts = [i for i in range(len(word)) if i == 0 or word[i] != word[i - 1]]
     found = hashes(letters, TILE[by_char])
     order = np.argsort(found, kind="stable")
-    return Item(item_id, letters, _figures(codes[kept]), np.flatnonzero(kept), starts, by_char, found[order], order)
+    item = Item(item_id, letters, _figures(codes[kept]), np.flatnonzero(kept), starts, by_char, found[order], order)
+    item.least = _least_letters(item)
+    return item
 
 
 @dataclass
@@ -126,8 +134,8 @@ class Page:
 
 
 def make_page(text: str) -> Page:
-    codes, table = codes_of(text), fold_table()
-    classes = np.where(codes < len(table), table[np.minimum(codes, len(table) - 1)], 0)
+    codes = codes_of(text)
+    classes = _classes(codes)
     kept = classes > 0
     blank = codes == 32
     cut = (codes == 10) | (codes == 13)
@@ -205,74 +213,103 @@ def joined(found: list[tuple[int, int, int]], page: Page, item: Item) -> list[tu
 
 
 def mark(found: list[tuple[int, int, int, int]], least: int, length: int) -> list[tuple[int, int, int, int]]:
-    """Greedy tiling of the page: the longest match first; what overlaps marked tiles is shortened, or dropped if too short."""
+    """Greedy tiling of the page: again and again the longest match that is left is marked, until none of the least length is.
+
+    A match that overlaps marked tiles is cut to what lies between them, and each piece waits for its turn by its own length. The
+    item's side stays open: a page may print a phrase of the passage twice, and only the place in order belongs to the chain.
+    """
     marked: list[tuple[int, int, int, int]] = []
     taken = bytearray(length)
-    for d0, d1, i0, i1 in sorted(found, key=lambda m: (m[0] - m[1], m[0], m[2])):
-        while d0 < d1 and taken[d0]:
-            d0, i0 = d0 + 1, i0 + 1
-        while d1 > d0 and taken[d1 - 1]:
-            d1, i1 = d1 - 1, i1 - 1
-        if d1 - d0 >= least and i1 - i0 >= least and taken.find(1, d0, d1) < 0:
+    waiting = [(d0 - d1, d0, i0, d1, i1) for d0, d1, i0, i1 in found]
+    heapify(waiting)
+    while waiting:
+        _, d0, i0, d1, i1 = heappop(waiting)
+        hit = taken.find(1, d0, d1)
+        if hit < 0:
             taken[d0:d1] = b"\x01" * (d1 - d0)
             marked.append((d0, d1, i0, i1))
+            continue
+        free = d0
+        while free < d1:
+            hit = taken.find(1, free, d1)
+            end = d1 if hit < 0 else hit
+            x0 = i0 + (free - d0)
+            x1 = i1 - (d1 - end) if end == d1 or d1 - d0 == i1 - i0 else min(i1, x0 + (end - free))
+            if end - free >= least and x1 - x0 >= least:
+                heappush(waiting, (free - end, free, x0, end, x1))
+            if hit < 0:
+                break
+            free = taken.find(0, hit, d1)
+            if free < 0:
+                break
     return marked
 
 
-def _within(tile: tuple[int, int, int, int], marks: list[int]) -> tuple[int, int, int, int]:
-    """A tile without the few letters by which it reaches, by chance, into the segment before or after."""
-    d0, d1, i0, i1 = tile
-    start, stop = marks[bisect_right(marks, d0)], marks[bisect_right(marks, d1 - 1) - 1]
-    if d1 - d0 > 4 * EDGE:
-        if start - d0 <= EDGE and marks[bisect_right(marks, d0) - 1] < d0:
-            d0, i0 = start, i0 + (start - d0)
-        if d1 - stop <= EDGE and stop > d0:
-            d1, i1 = stop, i1 - (d1 - stop)
-    return d0, d1, i0, i1
-
-
-def chains(tiles: list[tuple[int, int, int, int]], page: Page, item: Item) -> tuple[int, int, int, list[int]]:
+def _trimmed(tiles: list[tuple[int, int, int, int]], marks: np.ndarray) -> tuple[np.ndarray, ...]:
+    """d0, d1, i0, i1 in order of the item, without the few letters by which tiles reach, by chance, into the segment before or after."""
+    d0, d1, i0, i1 = np.array(tiles, dtype=np.int64).reshape(-1, 4).T.copy()
+    wide = d1 - d0 > 4 * EDGE
+    after = np.searchsorted(marks, d0, "right")
+    lead = np.where(wide & (marks[after] - d0 <= EDGE) & (marks[after - 1] < d0), marks[after] - d0, 0)
+    d0, i0 = d0 + lead, i0 + lead
+    stop = marks[np.searchsorted(marks, d1 - 1, "right") - 1]
+    tail = np.where(wide & (d1 - stop <= EDGE) & (stop > d0), d1 - stop, 0)
+    d1, i1 = d1 - tail, i1 - tail
+    order = np.lexsort((i1, i0))
+    return d0[order], d1[order], i0[order], i1[order]
+
+
+def _links(d0: np.ndarray, d1: np.ndarray, i0: np.ndarray, i1: np.ndarray, marks: np.ndarray, long_tile: int) -> list[tuple[int, int, int]]:
+    """(tile, earlier tile, letters that the link adds) of all tiles that may follow each other, by tile."""
+    by_end = np.argsort(i1, kind="stable")
+    ends = i1[by_end]
+    low, high = np.searchsorted(ends, i0 - 2 * EDGE), np.searchsorted(ends, i0 + 3, "right")
+    n = high - low
+    k = np.repeat(np.arange(len(i0)), n)
+    j = by_end[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    some = (j < k) & (i1[k] > i1[j])
+    k, j = k[some], j[some]
+    first, last = np.searchsorted(marks, d0, "right") - 1, np.searchsorted(marks, d1 - 1, "right") - 1
+    head, tail = d0 - marks[first], marks[last + 1] - d1
+    gap, on = i0[k] - i1[j], d0[k] - d1[j]
+    near = (on >= -3) & (on <= 4) & (np.abs(on - gap) <= 2)
+    further = first[k] - last[j]
+    turn = (tail[j] <= EDGE) & (head[k] <= EDGE) & (np.abs(tail[j] + head[k] - gap) <= 2)
+    turn &= ((further > 0) & (further <= REACH)) | (np.minimum(d1 - d0, long_tile)[k] + np.minimum(d1 - d0, long_tile)[j] >= 2 * long_tile)
+    kept = near | turn
+    more = i1[k] - np.maximum(i0[k], i1[j]) - np.where(turn, 0, BREAK)
+    return list(zip(k[kept].tolist(), j[kept].tolist(), more[kept].tolist(), strict=True))
+
+
+def chains(tiles: list[tuple[int, int, int, int]], page: Page, item: Item) -> tuple[int, int, int, list[tuple[int, int, int, int]]]:
     """(item start, item end, letters under tiles, tiles) of the chain that spans most of the item, among those with COVERAGE of their span under tiles.
 
     Two tiles are linked if the item goes on where the first ends, and the page either goes on too, or turns from the end of one
     segment to the start of another: a few segments further on, or, where both tiles are long, anywhere (columns in wrong order).
     For each tile, every start of a chain that ends with it is kept, with the most letters under tiles.
     """
-    tiles = sorted((_within(t, page.segments) for t in tiles), key=lambda m: (m[2], m[3]))
-    marks, long_tile = page.segments, 8 if item.unspaced else 24
-    spots = []
-    for d0, d1, _, _ in tiles:
-        a, b = bisect_right(marks, d0) - 1, bisect_right(marks, d1 - 1) - 1
-        spots.append((a, d0 - marks[a], b, marks[b + 1] - d1))
-    states: list[dict[int, tuple[int, int]]] = []  # start: letters under tiles, tile before
-    ending: dict[int, list[int]] = {}
-    best = (0, 0, 0, -1)
-    for k, (d0, d1, i0, i1) in enumerate(tiles):
-        own = {i0: (i1 - i0, -1)}
-        first, head, _, _ = spots[k]
-        for h in range(i0 - 2 * EDGE, i0 + 4):
-            for j in ending.get(h, ()):
-                e0, e1, h0, h1 = tiles[j]
-                gap = i0 - h1
-                if i1 <= h1:
-                    continue
-                _, _, last, tail = spots[j]
-                near = -3 <= d0 - e1 <= 4 and abs(d0 - e1 - gap) <= 2
-                turn = tail <= EDGE and head <= EDGE and abs(tail + head - gap) <= 2 and (0 < first - last <= REACH or min(d1 - d0, e1 - e0) >= long_tile)
-                if near or turn:
-                    more = (i1 - max(i0, h1)) - (0 if turn else BREAK)
-                    for begin, (under, _) in states[j].items():
-                        if begin <= i0 and (begin not in own or own[begin][0] < under + more):
-                            own[begin] = (under + more, j)
-        states.append(own)
-        ending.setdefault(i1, []).append(k)
-        for begin, (under, _) in own.items():
-            if under >= COVERAGE * (i1 - begin) and (i1 - begin, under) > (best[1] - best[0], best[2]):
-                best = (begin, i1, under, k)
+    if not tiles:
+        return 0, 0, 0, []
+    marks = np.array(page.segments)
+    d0, d1, i0, i1 = _trimmed(tiles, marks)
+    longest = int(np.argmax(i1 - i0))
+    starts, stops = i0.tolist(), i1.tolist()
+    best = (starts[longest], stops[longest], stops[longest] - starts[longest], longest)
+    states: dict[int, dict[int, tuple[int, int]]] = {}  # of linked tiles, by start: letters under tiles, tile before
+    for k, j, more in _links(d0, d1, i0, i1, marks, 8 if item.unspaced else 24):
+        for x in (j, k):
+            if x not in states:
+                states[x] = {starts[x]: (stops[x] - starts[x], -1)}
+        own, i, end = states[k], starts[k], stops[k]
+        for begin, (under, _) in states[j].items():
+            if begin <= i and (begin not in own or own[begin][0] < under + more):
+                own[begin] = (under + more, j)
+                if under + more >= COVERAGE * (end - begin) and (end - begin, under + more) > (best[1] - best[0], best[2]):
+                    best = (begin, end, under + more, k)
     path, k = [], best[3]
     while k >= 0:
-        path.append(tiles[k])
-        k = states[k][best[0]][1]
+        path.append((int(d0[k]), int(d1[k]), starts[k], stops[k]))
+        k = states[k][best[0]][1] if k in states else -1
     return (*best[:3], path[::-1])
 
 
@@ -306,14 +343,14 @@ def _least_letters(item: Item) -> int:
 
 
 class Index:
-    """Runs of a tile's length of a block of items, looked up by hash."""
+    """Seeds, runs of a tile's length, of a block of items, looked up by hash; built in one sort of all of them."""
 
     def __init__(self, items: list[Item]):
         self.items = items
         self.sides = [self._side(by_char) for by_char in (False, True)]
 
     def _side(self, by_char: bool):
-        least = {k: n for k, item in enumerate(self.items) if item.unspaced == by_char and (n := _least_letters(item))}
+        least = {k: item.least for k, item in enumerate(self.items) if item.unspaced == by_char and item.least}
         if not least:
             return None
         mine = np.array(list(least))
@@ -475,29 +512,34 @@ def search(index: Index, texts: list[str | None]) -> list[list[tuple[int, int, b
     return out
 
 
+#: The index that this Python worker built last, by the name of its block.
+_BUILT: dict[str, Index] = {}
 FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("n_shared", T.IntegerType()), T.StructField("in_chars", T.BooleanType())])
 
 
 def shared_passages(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id, item_id, n_shared (words, or characters where in_chars) for all documents and items with a common chain of tiles, if it may be of the least length.
 
-    Items go to the executors in blocks of at most `block` (a checked bound), each against whole texts of all documents; documents
-    are never shuffled. Null or empty texts share nothing. Repeated documents or items give repeated rows.
+    Items go to the executors in blocks of at most `block` items and about BLOCK_LETTERS letters in all (both counted), each against whole texts of all documents; documents are never shuffled. A worker builds the index of a block once. Null or empty
+    texts share nothing. Repeated documents or items give repeated rows.
     """
     spark, out = documents.sparkSession, None
     numbered = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).where("text <> ''")
-    n = numbered.count()
-    blocks = max(1, -(-n // block))
+    n, size = numbered.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // block), -(-size // BLOCK_LETTERS))
     share = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     pages = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text <> ''")
     for b in range(blocks):
         own = [(r[0], r[1]) for r in numbered.where(share == b).collect()]
-        sent = spark.sparkContext.broadcast(own)
+        sent = spark.sparkContext.broadcast((uuid.uuid4().hex, own))
 
         def find(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            index = Index([make_item(a, t) for a, t in sent.value])
+            name, own = sent.value
+            if name not in _BUILT:
+                _BUILT.clear()
+                _BUILT[name] = Index([make_item(a, t) for a, t in own])
             for batch in batches:
-                rows = [(d, *hit) for d, hits in zip(batch["doc_id"], search(index, batch["text"].tolist()), strict=True) for hit in hits]
+                rows = [(d, *hit) for d, hits in zip(batch["doc_id"], search(_BUILT[name], batch["text"].tolist()), strict=True) for hit in hits]
                 yield pd.DataFrame(rows, columns=FOUND.fieldNames())
 
         found = pages.mapInPandas(find, FOUND)

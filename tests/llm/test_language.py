@@ -305,3 +305,17 @@ def test_held_out_accuracy():
         right += len(found & set(ends))
         total += len(found | set(ends))
     assert right / total > 0.95
+
+
+def test_letters_beyond_the_first_planes_are_kept():
+    text = "".join(chr(0x20000 + 7 * i) for i in range(60))
+    item = leakage.make_item(1, text)
+    assert item.unspaced and len(item.letters) == 60
+    found = leakage.search(leakage.Index([item]), ["前文" + text[:20] + "\n" + text[20:45] + "後文"])
+    assert found[0] and found[0][0][1] >= 40
+
+
+def test_marking_searches_again_what_is_left_of_a_match():
+    # the longest first; the next overlaps it in the middle and is tiled on both sides of it
+    assert sorted(leakage.mark([(10, 30, 50, 70), (0, 19, 100, 119), (25, 45, 200, 220), (5, 12, 0, 7)], 5, 60)) == [(0, 10, 100, 110), (10, 30, 50, 70), (30, 45, 205, 220)]
+    assert sorted(leakage.mark([(10, 40, 50, 80), (0, 60, 100, 130)], 5, 60)) == [(0, 60, 100, 130)]
