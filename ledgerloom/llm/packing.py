@@ -1,25 +1,27 @@
 """Filling containers of fixed capacity with whole texts, at a controlled mixture of sources.
 
 Texts are measured in tokens of a public tokenizer. Each partition holds one queue per source and fills windows of several
-containers by deficit round-robin: a source earns its target share of every window as credit and spends it on texts; what it
-can't spend is carried to the next window. The credit that a partition begins with is what the partitions before it left over,
-which follows from their totals alone. Within a window texts go into the fullest container that still holds them. Containers
-that a partition leaves open are put together with those of other partitions in a second, much smaller pass.
+containers by deficit round-robin: round by round every source earns its target share of one container as credit and spends it on
+texts; what it can't spend is carried on. Within a window texts go into the fullest container that still holds them, largest first
+and the sources in turn. When a window ends, only its full containers are shipped; what lies in others goes back to the head of its
+queue, and so does its credit, so what is shipped keeps to the mixture. The credit that a partition begins with is what
+the partitions before it left over, which follows from their totals alone. What a partition has left at its end is put
+together with the rests of others in a second, much smaller pass of the same kind.
 """
 
 from __future__ import annotations
 
 import base64
 import bisect
-from collections import deque
-from collections.abc import Iterator
+from collections import defaultdict, deque
+from collections.abc import Iterator, Mapping
 from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.session import cut
+from ledgerloom.session import cut, cut_counted
 
 CAPACITY, WINDOW = 2048, 64
 ROWS_PER_PARTITION = 50_000
@@ -66,26 +68,52 @@ class Bins:
         return which
 
 
-def fill(queues: dict[str, list[tuple]], credit: dict[str, float], share: dict[str, float], capacity: int, window: int) -> list[tuple]:
-    """(key, piece_no, size, container) of all items (key, piece_no, size) in the sources' queues.
+def fill(queues: dict[str, list[tuple]], credit: dict[str, float], share: dict[str, float], capacity: int, window: int, closed_from: float = CLOSED_FROM) -> list[tuple]:
+    """(key, piece_no, size, container, window, shipped) of all items (key, piece_no, size) in the sources' queues.
 
-    A window ends when no source can pay for its next text; its texts are placed largest first into the containers still open,
-    each where it leaves the least room.
+    A window takes texts until it has as many tokens as its containers hold, or no text is left. Containers filled from
+    closed_from on are shipped; if none is, all are, so every window makes progress. What the last window doesn't ship comes out
+    with shipped false.
     """
     waiting = {s: deque(items) for s, items in sorted(queues.items())}
-    credit, bins, placed, budget = dict(credit), Bins(capacity), [], capacity * window
+    credit, placed, made, number = defaultdict(float, credit), [], 0, 0
     while any(waiting.values()):
-        taken = []
-        for s, queue in waiting.items():
-            credit[s] += budget * share[s]
-            while queue and queue[0][2] <= credit[s]:
-                credit[s] -= queue[0][2]
-                taken.append(queue.popleft())
-        if not taken:  # nobody can pay yet: the text nearest to its credit goes on
-            s = max((s for s, q in waiting.items() if q), key=lambda s: (credit[s] - waiting[s][0][2], s))
-            credit[s] -= waiting[s][0][2]
-            taken.append(waiting[s].popleft())
-        placed += [(*item, bins.put(item[2])) for item in sorted(taken, key=lambda x: (-x[2], x[0], x[1]))]
+        taken, held = [], 0
+        while held < capacity * window and any(waiting.values()):
+            live = [s for s, q in waiting.items() if q]
+            whole = sum(share[s] for s in live) or 1.0
+            before = held
+            for s in live:
+                credit[s] += capacity * (share[s] / whole if whole else 1 / len(live))
+                while waiting[s] and waiting[s][0][2] <= credit[s] and held < capacity * window:
+                    item = waiting[s].popleft()
+                    credit[s] -= item[2]
+                    held += item[2]
+                    taken.append((s, item))
+            if held == before:  # nobody can pay yet: the text nearest to its credit goes on
+                s = max(live, key=lambda s: (credit[s] - waiting[s][0][2], s))
+                item = waiting[s].popleft()
+                credit[s] -= item[2]
+                held += item[2]
+                taken.append((s, item))
+        bins, lots = Bins(capacity), defaultdict(list)
+        for n in sorted(range(len(taken)), key=lambda n: (-taken[n][1][2], n)):
+            lots[bins.put(taken[n][1][2])].append(n)
+        full = {b for b, lot in lots.items() if sum(taken[n][1][2] for n in lot) >= closed_from * capacity}
+        last = not any(waiting.values())
+        ship = full if full or last else set(lots)
+        back = []
+        for b, lot in sorted(lots.items()):
+            if b in ship or last:
+                placed += [(*taken[n][1], made, number, b in ship) for n in lot]
+                made += 1
+            else:
+                back += lot
+        for n in sorted(back, reverse=True):
+            s, item = taken[n]
+            waiting[s].appendleft(item)
+            credit[s] += item[2]
+        number += 1
     return placed
 
 
@@ -93,67 +121,73 @@ def _shares(n: int, rows_per_partition: int) -> int:
     return max(1, -(-n // rows_per_partition))
 
 
-PLACED = "key {key}, piece_no int, token_start long, n_tokens int, source string, container string, closed boolean"
+PLACED = "key {key}, piece_no int, token_start long, n_tokens int, source string, container string, window string, closed boolean"
 
 
-def pack(df: DataFrame, key: str, source: str, size: str, capacity: int = CAPACITY, window: int = WINDOW, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
-    """One row per piece: key, piece_no, token_start, n_tokens, source, container.
+def _credits(items: DataFrame, targets: Mapping[str, float] | None) -> DataFrame:
+    """at (partition), queue (source), share, and the credit that the partitions before it leave: a short row per partition and source.
 
-    Only texts longer than capacity are split, into full pieces and a rest; a full piece is a container by itself. Texts of no
-    tokens, and null sizes, fill nothing and have no row. Null and '' sources count as one. Target shares are the sources'
-    shares of all tokens. Rows with equal keys are separate items. A task holds about rows_per_partition small rows at a time.
+    With given targets a partition ships in proportion until a source runs out; what it lacks from then on can't be repaid by the
+    next, which begins even.
     """
-    rows = df.select(F.col(key).alias("key"), F.coalesce(source, F.lit("")).alias("source"), F.col(size).cast("long").alias("size")).where("size > 0")
-    rows = rows.withColumn("piece_no", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / capacity).cast("int"))))
-    start = F.col("piece_no").cast("long") * capacity
-    rows = cut(rows.select("key", "piece_no", start.alias("token_start"), F.least(F.col("size") - start, F.lit(capacity)).cast("int").alias("n_tokens"), "source"))
-    rows = rows.withColumn("row_id", F.monotonically_increasing_id())
-    full = rows.where(F.col("n_tokens") == capacity).withColumn("container", F.concat(F.lit("full-"), F.col("row_id").cast("string"))).drop("row_id")
-    items = rows.where(F.col("n_tokens") < capacity)
-    parts = _shares(items.count(), rows_per_partition)
-    items = items.withColumn("part", F.pmod(F.xxhash64("row_id"), F.lit(parts)).cast("int")).drop("row_id")
-
     totals = items.groupBy("part", "source").agg(F.sum("n_tokens").alias("tokens"))
     whole = totals.groupBy("part").agg(F.sum("tokens").alias("all"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one short row per partition
     whole = whole.select("part", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("all_before"))
     grand = totals.groupBy("source").agg(F.sum("tokens").alias("of_source"))
+    if targets is None:
+        sums = grand.agg(F.sum("of_source").alias("of_all")).first()["of_all"] or 1
+        grand = grand.select("source", (F.col("of_source") / F.lit(sums)).alias("share"))
+    else:
+        asked = F.create_map(*[F.lit(x) for s, weight in targets.items() for x in (s, float(weight))]) if targets else F.create_map().cast("map<string,double>")
+        grand = grand.select("source", (F.coalesce(F.try_element_at(asked, "source"), F.lit(0.0)) / F.lit(sum(targets.values()) or 1.0)).alias("share"))
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = grand.agg(F.sum("of_source").alias("of_all")).first()["of_all"] or 1
-    credits = totals.withColumn("spent", F.coalesce(F.sum("tokens").over(earlier), F.lit(0))).join(whole, "part").join(grand, "source")
-    share = F.col("of_source") / F.lit(sums)
-    credits = credits.select(F.col("part").alias("at"), F.col("source").alias("queue"), share.alias("share"), (share * F.col("all_before") - F.col("spent")).alias("credit"))
-
-    schema = PLACED.format(key=rows.schema["key"].dataType.simpleString())
-
-    def first_pass(items: pd.DataFrame, credits: pd.DataFrame) -> pd.DataFrame:
-        part = int(credits["at"].iloc[0])
-        items = items.sort_values(["source", "key", "piece_no"]).reset_index(drop=True)
-        queues: dict[str, list[tuple]] = {}
-        for i, (s, n) in enumerate(zip(items["source"], items["n_tokens"], strict=True)):
-            queues.setdefault(s, []).append((i, 0, n))
-        placed = fill(queues, dict(zip(credits["queue"], credits["credit"], strict=True)), dict(zip(credits["queue"], credits["share"], strict=True)), capacity, window)
-        return _rows(items, placed, f"w{part}-", capacity)
-
-    def second_pass(items: pd.DataFrame) -> pd.DataFrame:
-        part, bins = int(items["part"].iloc[0]), Bins(capacity)
-        items = items.sort_values(["n_tokens", "key", "piece_no"], ascending=[False, True, True]).reset_index(drop=True)
-        return _rows(items, [(i, 0, n, bins.put(n)) for i, n in enumerate(items["n_tokens"])], f"r{part}-", capacity)
-
-    first = cut(items.groupBy("part").cogroup(credits.groupBy("at")).applyInPandas(first_pass, schema))
-    left = first.where("not closed")
-    shares = _shares(left.count(), rows_per_partition)
-    left = left.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shares)).cast("int"))
-    rest = left.groupBy("part").applyInPandas(second_pass, schema)
-    return full.unionByName(first.where("closed").drop("closed")).unionByName(rest.drop("closed"))
-
-
-def _rows(items: pd.DataFrame, placed: list[tuple], prefix: str, capacity: int) -> pd.DataFrame:
-    order, number = [p[0] for p in placed], pd.Series([p[3] for p in placed], dtype="int64")
-    out = items.iloc[order][["key", "piece_no", "token_start", "n_tokens", "source"]].reset_index(drop=True)
-    out["container"] = prefix + number.astype(str)
-    out["closed"] = out.groupby(number.values)["n_tokens"].transform("sum") >= CLOSED_FROM * capacity
-    return out
+    spent = totals.withColumn("spent", F.coalesce(F.sum("tokens").over(earlier), F.lit(0))).join(whole, "part").join(grand, "source")
+    credit = F.col("share") * F.col("all_before") - F.col("spent") if targets is None else F.lit(0.0)
+    return spent.select(F.col("part").alias("at"), F.col("source").alias("queue"), "share", credit.alias("credit"))
+
+
+def pack(df: DataFrame, key: str, source: str, size: str, capacity: int = CAPACITY, window: int = WINDOW, rows_per_partition: int = ROWS_PER_PARTITION, targets: Mapping[str, float] | None = None) -> DataFrame:
+    """One row per piece: key, piece_no, token_start, n_tokens, source, container, window.
+
+    Only texts longer than capacity are split, into full pieces and a rest; a full piece is a container by itself and counts in
+    the mixture like any other. Texts of no tokens, and null sizes, fill nothing and have no row. Null and '' sources count as one.
+    targets: weights of the sources in every window; None stands for their shares of all tokens. A source whose texts have run out
+    leaves its share to the others, one without a target follows when nothing else is left: no text is dropped. Rows with
+    equal keys are separate items. A task holds about rows_per_partition small rows at a time.
+    """
+    rows = df.select(F.col(key).alias("key"), F.coalesce(source, F.lit("")).alias("source"), F.col(size).cast("long").alias("size")).where("size > 0")
+    rows = rows.withColumn("piece_no", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / capacity).cast("int"))))
+    start = F.col("piece_no").cast("long") * capacity
+    items, n = cut_counted(rows.select("key", "piece_no", start.alias("token_start"), F.least(F.col("size") - start, F.lit(capacity)).cast("int").alias("n_tokens"), "source"))
+    schema = PLACED.format(key=items.schema["key"].dataType.simpleString())
+
+    def spread(rows: DataFrame, n: int) -> DataFrame:
+        parts = _shares(n, rows_per_partition)
+        return rows.withColumn("part", F.pmod(F.xxhash64("key", "piece_no", F.monotonically_increasing_id()), F.lit(parts)).cast("int"))
+
+    def filled(prefix: str, closed_from: float):
+        def run(items: pd.DataFrame, credits: pd.DataFrame) -> pd.DataFrame:
+            part = int(credits["at"].iloc[0])
+            items = items.sort_values(["source", "key", "piece_no"]).reset_index(drop=True)
+            queues: dict[str, list[tuple]] = {}
+            for i, (s, n) in enumerate(zip(items["source"], items["n_tokens"], strict=True)):
+                queues.setdefault(s, []).append((i, 0, n))
+            placed = fill(queues, dict(zip(credits["queue"], credits["credit"], strict=True)), dict(zip(credits["queue"], credits["share"], strict=True)), capacity, window, closed_from)
+            out = items.iloc[[p[0] for p in placed]][["key", "piece_no", "token_start", "n_tokens", "source"]].reset_index(drop=True)
+            out["container"] = [f"{prefix}{part}-{p[3]}" for p in placed]
+            out["window"] = [f"{prefix}{part}-{p[4]}" for p in placed]
+            out["closed"] = [p[5] for p in placed]
+            return out
+
+        return run
+
+    items = cut(spread(items, n))
+    first = cut(items.groupBy("part").cogroup(_credits(items, targets).groupBy("at")).applyInPandas(filled("w", CLOSED_FROM), schema))
+    left, n_left = cut_counted(first.where("not closed").select("key", "piece_no", "token_start", "n_tokens", "source"))
+    left = cut(spread(left, n_left))
+    rest = left.groupBy("part").cogroup(_credits(left, targets).groupBy("at")).applyInPandas(filled("r", 0.0), schema)
+    return first.where("closed").drop("closed").unionByName(rest.drop("closed"))
 
 
 def unused(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

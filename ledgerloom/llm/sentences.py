@@ -1,6 +1,7 @@
 """Sentence units of scanned pages in many scripts.
 
-Every mark that may end a sentence, and every printed line that may be a headline, is a candidate. What follows it is looked up
+Every mark that may end a sentence, every blank of a script that parts statements by blanks, and every line that ends short or in
+capitals without a mark, as headlines do, is a candidate. What follows it is looked up
 in reading order: in the same printed segment, or in the next segment of the same column. A maximum-entropy model judges the
 candidates by the tokens beside them, their case, length, digits and script, the marks and the closing quotes. It is trained
 on candidates whose nature is plain from their surroundings (a small letter behind a full stop, a long small word before one and a capital
@@ -30,6 +31,12 @@ LEAST = 3
 HELD = 200_000
 BITS = 17
 MASK = (1 << BITS) - 1
+#: Features of a candidate, and the number that fills up fewer; its weight is always 0.
+WIDTH, PAD = 15, 1 << BITS
+#: Letters on either side of a mark that its features are taken from.
+NEAR = 400
+#: Log-odds of the plain reading of an end without a mark, before anything is learnt.
+PRIOR = 2.0
 
 # Marks and scripts.
 ENDS = ".!?。！？．।॥؟۔·•"
@@ -44,7 +51,7 @@ _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _INNER_CAPITAL = re.compile(r"(?<=[a-zß-öø-ÿа-яё] )[A-ZÀ-ÖØ-ÞА-ЯЁ][^\W_]*")
 _AFTER_ORDINAL = re.compile(r"(?<=\d\.)[ \n]([A-ZÀ-ÖØ-ÞА-ЯЁ][^\W_]*)")
 _CAPITAL = re.compile(r"\b[A-ZÀ-ÖØ-ÞА-ЯЁ][^\W_]*")
-_THAI_BLANK = re.compile(r"(?<=[^\s\d,.]) (?=[^\s\d])")
+_THAI_BLANK = re.compile(r"(?<=\S) (?=\S)")
 
 
 @dataclass(slots=True)
@@ -69,6 +76,7 @@ class Candidate:
     label: int = -1
     kind: str = "mark"
     opens: str = ""
+    prior: float = 0.0
 
 
 def script_of(text: str) -> str:
@@ -91,6 +99,8 @@ def script_of(text: str) -> str:
 
 
 def _is_caps(words: str) -> bool:
+    if 6 * sum(map(str.islower, words[:24])) > len(words):  # more small letters than all others could make up for
+        return False
     up = sum(map(str.isupper, words))
     return up >= 4 and up >= 6 * sum(map(str.islower, words))
 
@@ -146,7 +156,7 @@ def _joined_next(text: str, segments: list[Segment], k: int, width: int = 60) ->
 
 
 def candidates(text: str, boxes, starters: frozenset[str] = frozenset(), followers: frozenset[str] = frozenset(), plain: bool = False) -> list[Candidate]:
-    """All candidates of a text; those of kind 'sure' are boundaries by themselves.
+    """All candidates of a text, marks and ends without a mark, in the order of lines.
 
     starters: words that begin sentences; followers: words that stand behind ordinal numbers, as months do.
     plain: leave out full stops before small letters and digits, which end nothing and are of use in training only.
@@ -162,9 +172,9 @@ def candidates(text: str, boxes, starters: frozenset[str] = frozenset(), followe
             if c is not None:
                 out.append(c)
         if script == "th":
-            out += [Candidate(s.start + m.start() - 1, kind="sure") for m in _THAI_BLANK.finditer(words)]
-            if text[s.end : s.end + 2] == " \n" and not words[-1].isdigit():
-                out.append(Candidate(s.end - 1, kind="sure"))
+            out += [_thai_blank(words, s.start, m.start()) for m in _THAI_BLANK.finditer(words)]
+            if text[s.end : s.end + 2] == " \n":
+                out.append(_end(s.end - 1, ("Tb", f"Te{words[-1].isdigit()}", f"Tp{words[-1]}"), not words[-1].isdigit()))
         if words[-1] not in ENDS and not (words[-1] in CLOSERS and words[-2:-1] and words[-2] in ENDS):
             c = _line_end(text, words, segments, k, script)
             if c is not None:
@@ -172,27 +182,41 @@ def candidates(text: str, boxes, starters: frozenset[str] = frozenset(), followe
     return out
 
 
+def _end(end: int, names: tuple[str, ...], plain: bool) -> Candidate:
+    """A candidate without a mark; its surroundings are plain enough to train on."""
+    return Candidate(end, [crc32(x.encode()) & MASK for x in names] + [PAD] * (WIDTH - len(names)), int(plain), "end", prior=PRIOR if plain else -PRIOR)
+
+
+def _thai_blank(words: str, start: int, at: int) -> Candidate:
+    """A blank between two statements, or beside figures, where it parts nothing."""
+    left, right = words[at - 1], words[at + 1 : at + 2]
+    before, after = at - 1 - words.rfind(" ", 0, at), words.find(" ", at + 1)
+    sides = f"{'d' if left.isdigit() or left in ',.' else _case(left)}{_case(right)}"
+    names = ("Tb", f"Ts{sides}", f"Tl{min(before // 4, 6)}{sides}", f"Tr{min((after - at - 1) // 4, 6) if after > 0 else 9}{sides}", f"Tp{left}", f"Tn{right}")
+    return _end(start + at - 1, names, "d" not in sides)
+
+
 def _line_end(text: str, words: str, segments: list[Segment], k: int, script: str) -> Candidate | None:
-    """A line without a mark at its end: a headline, or a passage that was cut off."""
+    """A line without a mark at its end, short or in capitals: a headline, a passage that was cut off, or the middle of a sentence."""
     s = segments[k]
     nxt = segments[s.following] if s.following >= 0 else None
-    end = s.end - 1
-    if s.caps:
-        if nxt is not None and nxt.caps and nxt.line == s.line + 1 and not s.short:
-            return None
-        return Candidate(end, kind="sure")
-    if words[-1] in "-=¬‐­,;:–—":
-        return None
-    after = text[nxt.start : nxt.start + 40] if nxt is not None else ""
-    if script in ("lat", "cyr"):
-        lead = after.lstrip(OPENERS + " ")[:1]
-        if s.short and (nxt is None or (lead.isupper() and nxt.line != s.line)) and words[-1].isalpha() and len(words) > 3:
-            return Candidate(end, kind="sure")
+    cased, last = script in ("lat", "cyr"), script == "th" and k == len(segments) - 1
+    if not (s.caps or s.short or last) or (not s.caps and words[-1] in "-=¬‐­,;:–—"):
         return None
-    last = script == "th" and k == len(segments) - 1
-    if last or (s.short and (nxt is None or nxt.line != s.line)):
-        return Candidate(end, kind="sure")
-    return None
+    lead = text[nxt.start : nxt.start + 40].lstrip(OPENERS + " ")[:1] if nxt is not None else ""
+    place = "n" if nxt is None else "s" if nxt.line == s.line else "f" if nxt.line == s.line + 1 else "o"
+    nc, tail, brief = _case(lead), _case(words[-1]), len(words) <= 3
+    if s.caps:
+        plain = not (nxt is not None and nxt.caps and place == "f" and not s.short)
+        state = f"C{nxt is not None and nxt.caps}{place}{s.short}"
+    elif cased:
+        plain = (nxt is None or (lead.isupper() and place != "s")) and words[-1].isalpha() and not brief
+        state = f"L{place}{nc}{tail}{brief}"
+    else:
+        plain = last or place != "s"
+        state = f"O{last}{place}"
+    names = ("Eb", f"E{state}", f"E{state}{script}", f"Es{script}{s.short}{s.caps}", f"Ew{min(words.count(' '), 8)}{cased}", f"El{min(len(words) // 8, 9)}{cased}", f"En{nc}{cased}", f"Et{tail}{cased}")
+    return _end(s.end - 1, names, plain)
 
 
 def _mark(text: str, words: str, segments: list[Segment], k: int, m: re.Match, script: str, starters: frozenset[str], followers: frozenset[str], plain: bool) -> Candidate | None:
@@ -204,10 +228,14 @@ def _mark(text: str, words: str, segments: list[Segment], k: int, m: re.Match, s
     if not comma and len(marks) > 1 and not any(c in PLAIN_ENDS for c in marks):
         return None  # an ellipsis
     mark = "," if comma else next((c for c in marks if c in PLAIN_ENDS), marks[-1])
-    before, behind = words[: m.start()], words[m.end() :]
+    before, behind = words[max(0, m.start() - NEAR) : m.start()], words[m.end() : m.end() + NEAR]
+    if not behind.strip():
+        behind = words[m.end() :]
     glued = bool(behind) and not behind[0].isspace()
     here = behind.strip()
     eol = not here
+    if comma and not starters:
+        return None
     if len(here) < 30:
         here = (here + " " + _joined_next(text, segments, k)).strip()
     prev = before[-24:]
@@ -233,14 +261,19 @@ def _mark(text: str, words: str, segments: list[Segment], k: int, m: re.Match, s
         nw = lead[:1]
     elif script == "th":
         nw = lead[:3]
+    first, nc = nw in starters, _case(lead[:1])
+    if comma and not (first and nc == "U"):
+        return None
     initial = len(nw) == 1 and nw.isupper() and lead[1:2] == "."
     pw = prev[max(prev.rfind(" "), prev.rfind("\n")) + 1 :].strip(OPENERS + "()[]")
     inner = "." in pw[:-1] if pw else False
     letters = _WORD.findall(pw)
     last = letters[-1] if letters else pw
-    if not before.strip() and k > 0:
+    if k > 0 and not before.strip() and not words[: m.start()].strip():
         last = ""
-    pc, nc = _case(last[:1]), _case(lead[:1])
+    pc = _case(last[:1])
+    if comma and pc != "l":
+        return None
     size = min(len(last), 7)
     speech = ""
     if closers and script in ("cjk", "hi", "ar", "th"):
@@ -249,12 +282,11 @@ def _mark(text: str, words: str, segments: list[Segment], k: int, m: re.Match, s
         if script == "cjk":
             opened = text.rfind("「", 0, s.start + m.start())
             speech += ":" if opened > 0 and text[opened - 1] in "：:" else "-"
-    first = nw in starters
-    if comma and not (first and pc == "l" and nc == "U"):
-        return None
     ordinal = tail.isdigit() and nw in followers
-    lead_in = re.split(r"[.!?”\"] ", before)
-    brief = inner and not eol and len(lead_in) > 1 and len(lead_in[-1].split()) <= 3
+    brief = False
+    if inner and not eol:
+        stop = max(words.rfind(x, 0, m.start()) for x in (". ", "! ", "? ", "” ", '" '))
+        brief = stop >= 0 and len(words[stop + 2 : m.start()].split()) <= 3
     q = "q" if closers else "-"
     e = "e" if eol else "i"
     group = "s" if mark in PLAIN_ENDS else "."
@@ -331,24 +363,26 @@ class Model:
     starters: frozenset[str] = frozenset()
     followers: frozenset[str] = frozenset()
 
-    def score(self, features: list[list[int]]) -> np.ndarray:
-        return self.weights[np.array(features, dtype=np.int64)].sum(axis=1)
+    def score(self, found: list[Candidate]) -> np.ndarray:
+        return self.weights[np.array([c.features for c in found], dtype=np.int64)].sum(axis=1) + np.array([c.prior for c in found])
 
 
 def fit(found: list[Candidate], rounds: int = 120, rate: float = 0.5, decay: float = 1e-5) -> Model:
     """Maximum entropy over binary features by adaptive full-batch ascent; the same candidates give the same weights."""
     labelled = [c for c in found if c.label >= 0]
-    weights = np.zeros(1 << BITS)
+    weights = np.zeros(PAD + 1)
     if not labelled:
         return Model(weights)
     x = np.array([c.features for c in labelled], dtype=np.int64)
     y = np.array([c.label for c in labelled], dtype=np.float64)
-    flat, squares = x.ravel(), np.full(1 << BITS, 1e-8)
+    prior = np.array([c.prior for c in labelled])
+    flat, squares = x.ravel(), np.full(PAD + 1, 1e-8)
     for _ in range(rounds):
-        error = y - 1 / (1 + np.exp(-np.clip(weights[x].sum(axis=1), -30, 30)))
-        gradient = np.bincount(flat, np.repeat(error, x.shape[1]), 1 << BITS) / len(y) - decay * weights
+        error = y - 1 / (1 + np.exp(-np.clip(weights[x].sum(axis=1) + prior, -30, 30)))
+        gradient = np.bincount(flat, np.repeat(error, x.shape[1]), PAD + 1) / len(y) - decay * weights
         squares += gradient * gradient
         weights += rate * gradient / np.sqrt(squares)
+        weights[PAD] = 0.0
     return Model(weights)
 
 
@@ -408,13 +442,10 @@ def boundaries(model: Model, text: str | None, boxes=None) -> list[int]:
     if not text or not text.strip():
         return []
     found = candidates(text, boxes, model.starters, model.followers, True)
-    judged = [c for c in found if c.features]
-    ends = {c.end for c in found if c.kind == "sure"}
-    if judged:
-        for c, score in zip(judged, model.score([c.features for c in judged]), strict=True):
-            if score > 0:
-                ends.add(c.end)
-    return sorted(ends)
+    if not found:
+        return []
+    scores = model.score(found)
+    return sorted({c.end for c, score in zip(found, scores.tolist(), strict=True) if score > 0})
 
 
 UNITS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("end_offset", T.IntegerType())])

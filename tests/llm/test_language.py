@@ -82,6 +82,52 @@ def test_windows_keep_the_mixture():
     assert len(placed) == 4000
 
 
+def _shares_by_window(rows):
+    sums = defaultdict(lambda: defaultdict(int))
+    for w, source, n in rows:
+        sums[w][source] += n
+    return sums
+
+
+def test_shipped_windows_keep_to_the_targets():
+    rng = random.Random(3)
+    share = {"a": 0.6, "b": 0.3, "c": 0.1}
+    queues = {s: [((s, i), 0, rng.randrange(1, 1500)) for i in range(n)] for s, n in (("a", 2400), ("b", 1200), ("c", 400))}
+    placed = packing.fill(queues, dict.fromkeys(share, 0.0), share, 2048, 16)
+    assert sorted((p[0], p[2]) for p in placed) == sorted((i[0], i[2]) for q in queues.values() for i in q)
+    windows = _shares_by_window((p[4], p[0][0], p[2]) for p in placed if p[5])
+    total, run = 0, defaultdict(int)
+    for w in sorted(windows)[:-3]:  # until a source runs out
+        total += sum(windows[w].values())
+        for s in share:
+            run[s] += windows[w][s]
+            # never further from its share than what one window may hold back, however many windows there were
+            assert abs(run[s] - share[s] * total) <= 4 * 2048
+    fills = defaultdict(int)
+    for p in placed:
+        fills[p[3]] += p[2]
+    assert max(fills.values()) <= 2048 and all(fills[p[3]] >= packing.CLOSED_FROM * 2048 for p in placed if p[5])
+
+
+def test_equal_lengths_are_mixed_within_containers():
+    queues = {"a": [(i, 0, 100) for i in range(3000)], "b": [(3000 + i, 0, 100) for i in range(1000)]}
+    inside = defaultdict(set)
+    for p in packing.fill(queues, {"a": 0.0, "b": 0.0}, {"a": 0.75, "b": 0.25}, 2048, 8):
+        inside[p[3]].add("a" if p[0] < 3000 else "b")
+    assert sum(len(s) == 2 for s in inside.values()) >= 0.9 * len(inside)
+
+
+def test_targets_hold_over_partitions_and_no_text_is_lost(spark):
+    rng = random.Random(5)
+    docs = [(i, "x" if i % 2 else "y", rng.randrange(1, 900)) for i in range(3000)] + [(5000, "z", 5000), (5001, None, 3)]
+    df = spark.createDataFrame(docs, "id long, source string, n int")
+    got = packing.pack(df, "id", "source", "n", window=8, rows_per_partition=1000, targets={"x": 3, "y": 1}).collect()
+    assert sum(r["n_tokens"] for r in got) == sum(d[2] for d in docs)
+    windows = _shares_by_window((r["window"], r["source"], r["n_tokens"]) for r in got if r["window"].startswith("w"))
+    begin = [w for k, w in windows.items() if int(k.rpartition("-")[2]) in (1, 2)]  # later ones have run out of x
+    assert begin and all(abs(w["x"] / (w["x"] + w["y"]) - 0.75) < 0.08 for w in begin)
+
+
 def test_tokens(spark):
     from pathlib import Path
 
