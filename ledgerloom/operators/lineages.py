@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import lineage_id, payer_category
@@ -46,6 +46,20 @@ def summarise(bills: DataFrame, root_of: DataFrame, events: DataFrame, windows:
     return out.select(lineage_id(F.col("root_id")).alias("lineage_id"), "root_id", "record_ids", "org_token", status.alias("status"), "payer_category", "amount", coverage.alias("coverage_status"), "coverage_end_us")
 
 
+def paid_status(status: Column, gross: Column) -> Column:
+    """The status of a lineage once its money is known: payments make an open one paid, a closed one reopened."""
+    paid = F.coalesce(gross > 0, F.lit(False))
+    return F.when(paid & (status == "OPEN"), "PAYMENT_OBSERVED").when(paid & (status == "CLOSED_NO_PAYMENT"), "REOPENED_OR_POST_CLOSE_PAYMENT").otherwise(status)
+
+
+def notes(*parts: DataFrame) -> DataFrame:
+    """kind, record_ids of all parts, each note once."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.distinct()
+
+
 def touch_counts(record_ids: DataFrame, root_of: DataFrame) -> DataFrame:
     """root_id, n: notes (note_id, record_id) that touch a lineage, each once."""
     return record_ids.join(root_of, "record_id").groupBy("root_id").agg(F.countDistinct("note_id").alias("n"))

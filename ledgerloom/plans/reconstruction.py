@@ -1,7 +1,7 @@
 """Reconstruction and forecast over the contract tables, and one query per operator.
 
 Every query runs the operators on whole tables. Owners of money are bills here (org_token, source_system, bill_id), named by one
-string, where a query is checked against SQL; `lineage_*` queries use the linked lineages.
+string, in the queries named by_bill and those on landmarks; `lineage_*` queries use the linked lineages.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.scalars import age_bucket, payer_category, six_places
 from ledgerloom.operators import agreement, landmarks, lineages, linkage, money, normalize, redelivery, risk
 from ledgerloom.session import cut, table, tune
+from ledgerloom.sources import files
 
 AS_OF_US = 1_704_067_200_000_000  # 2024-01-01T00:00:00Z
 
@@ -34,6 +35,11 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return normalize.split(normalize.events(once))[0]
 
 
+def _paying(spark: SparkSession, d: str) -> DataFrame:
+    """Events that count for money: those that repeat another's content under a new id are left out."""
+    return linkage.judge_events(_events(spark, d)).where("not is_duplicate").drop("first_id", "is_duplicate")
+
+
 def _allocations(spark: SparkSession, d: str) -> DataFrame:
     tune(spark)
     return normalize.split(normalize.allocations(table(spark, d, "allocations").distinct()))[0]
@@ -117,8 +123,10 @@ def r3_unique(spark, d):
 
 
 def _links(spark: SparkSession, d: str, bills: DataFrame) -> DataFrame:
+    """Proposals of all rules in their order, manual decisions last where there is a table of them, with the verdict of the checks."""
     r3 = linkage.unique_pairs(cut(linkage.weak_links(bills)))[0]
-    return cut(linkage.check_links(linkage.by_priority(linkage.native_links(bills), linkage.version_links(bills)[0], r3), bills))
+    manual = linkage.manual_links(files.read_table(spark, d, "manual_decisions"))
+    return cut(linkage.check_links(linkage.by_priority(linkage.native_links(bills), linkage.version_links(bills)[0], r3, manual), bills))
 
 
 def link_verdicts(spark, d):
@@ -132,32 +140,104 @@ def several_successors(spark, d):
     return linkage.several_successors(_links(spark, d, bills).where("verdict = 'accepted'"))
 
 
-def _lineages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _rooted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(kept bills, link verdicts, record_id and root_id of every record)."""
     bills = cut(_kept(spark, d))
-    links = _links(spark, d, bills).where("verdict = 'accepted'")
-    root_of = cut(lineages.roots(bills, links))
-    return lineages.summarise(bills, root_of, _events(spark, d), _windows(spark, d)), root_of
+    links = _links(spark, d, bills)
+    return bills, links, cut(lineages.roots(bills, links.where("verdict = 'accepted'")))
 
 
 def lineage_roots(spark, d):
-    return _lineages(spark, d)[1]
+    return _rooted(spark, d)[2]
+
+
+def _lineages(spark: SparkSession, d: str) -> DataFrame:
+    bills, _, root_of = _rooted(spark, d)
+    return lineages.summarise(bills, root_of, _events(spark, d), _windows(spark, d))
 
 
 def lineage_summary(spark, d):
-    return _lineages(spark, d)[0]
+    """One row per lineage; its members as one text, in order."""
+    return _lineages(spark, d).withColumn("record_ids", F.array_join("record_ids", "|"))
 
 
 def lineage_bridge(spark, d):
-    return lineages.bridge(_lineages(spark, d)[0])
+    return lineages.bridge(_lineages(spark, d))
+
+
+def _amounts(spark: SparkSession, d: str, owner_of: DataFrame) -> DataFrame:
+    events = cut(_paying(spark, d))
+    parts = cut(money.parts_of(money.payments_of(events), money.allocations_of(_allocations(spark, d)), owner_of))
+    return money.amounts(parts, money.reversed_by_owner(parts, money.capped(money.reversals_of(events)[0], money.payments_of(events))))
+
+
+def lineage_amounts(spark, d):
+    """Money per lineage, duplicate events left out; what belongs to none stands under UNLINKED, lineages without money have zeros."""
+    _, _, root_of = _rooted(spark, d)
+    found = _amounts(spark, d, root_of.withColumnRenamed("root_id", "owner"))
+    every = root_of.select(F.col("root_id").alias("owner")).distinct().join(found, "owner", "full")
+    return every.select("owner", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gross", "reversed", "net", "unallocated")])
+
+
+def lineage_status(spark, d):
+    """Status of every lineage: open or closed, or paid, which a closed one is only after reopening."""
+    bills, _, root_of = _rooted(spark, d)
+    base = lineages.summarise(bills, root_of, _events(spark, d), _windows(spark, d)).select("root_id", "status")
+    found = _amounts(spark, d, root_of.withColumnRenamed("root_id", "owner")).select(F.col("owner").alias("root_id"), "gross")
+    return base.join(found, "root_id", "left").select("root_id", lineages.paid_status(F.col("status"), F.col("gross")).alias("status"))
+
+
+def _link_conflicts(judged: DataFrame, bills: DataFrame, links: DataFrame) -> DataFrame:
+    pair = F.concat_ws("|", "left_id", "right_id")
+    return lineages.notes(
+        judged.where("verdict <> 'first'").select(F.col("verdict").alias("kind"), F.concat_ws("|", "first_id", "record_id").alias("record_ids")),
+        links.where("verdict in ('CROSS_ORG_REFERENCE', 'CYCLE_REFERENCE')").select(F.col("verdict").alias("kind"), pair.alias("record_ids")),
+        links.where("verdict = 'accepted' and is_late_parent").select(F.lit("TIME_ORDER_VIOLATION").alias("kind"), pair.alias("record_ids")),
+        linkage.several_successors(links.where("verdict = 'accepted'")).select(F.lit("MULTIPLE_SUCCESSOR").alias("kind"), F.col("left_id").alias("record_ids")),
+    )
+
+
+def _reviews(judged: DataFrame, bills: DataFrame, links: DataFrame) -> DataFrame:
+    pair = F.concat_ws("|", "left_id", "right_id")
+    return lineages.notes(
+        judged.where("verdict = 'CONFLICTING_DUPLICATE_KEY'").select(F.col("verdict").alias("kind"), F.concat_ws("|", "first_id", "record_id").alias("record_ids")),
+        links.where("verdict = 'DANGLING_REFERENCE'").select(F.col("verdict").alias("kind"), pair.alias("record_ids")),
+        linkage.version_links(bills)[1].select(F.lit("AMBIGUOUS_VERSION_SET").alias("kind"), F.col("record_id").alias("record_ids")),
+        linkage.unique_pairs(cut(linkage.weak_links(bills)))[1].select(F.lit("MULTI_CANDIDATE_AMBIGUITY").alias("kind"), pair.alias("record_ids")),
+    )
+
+
+def conflicts(spark, d):
+    """Everything that contradicts itself, as rows: duplicates, links that cross, turn or run back in time, and money."""
+    judged = cut(_bills(spark, d))
+    bills = cut(judged.where("verdict <> 'DUPLICATE_IMPORT'"))
+    events = cut(_paying(spark, d))
+    paid = money.payments_of(events)
+    of_money = lineages.notes(
+        money.in_usd(events, True)[1].select(F.lit("NON_USD_EVENT").alias("kind"), F.col("event_id").alias("record_ids")),
+        money.in_usd(_allocations(spark, d), False)[1].select(F.lit("NON_USD_ALLOCATION").alias("kind"), F.col("allocation_id").alias("record_ids")),
+        money.over_allocated(paid, money.allocations_of(_allocations(spark, d))).select(F.lit("OVER_ALLOCATION").alias("kind"), F.col("event_id").alias("record_ids")),
+        money.reversals_of(events)[1].select(F.lit("UNRESOLVED_REVERSAL").alias("kind"), F.col("event_id").alias("record_ids")),
+    )
+    return _link_conflicts(judged, bills, _links(spark, d, bills)).unionByName(of_money).select(F.col("kind").alias("conflict_type"), "record_ids")
+
+
+def review_queue(spark, d):
+    """What a person has to look at, as rows."""
+    judged = cut(_bills(spark, d))
+    bills = cut(judged.where("verdict <> 'DUPLICATE_IMPORT'"))
+    return _reviews(judged, bills, _links(spark, d, bills)).select(F.col("kind").alias("review_type"), "record_ids")
 
 
 def lineage_notes(spark, d):
-    """Number of link verdicts other than accepted that touch each lineage."""
-    bills = cut(_kept(spark, d))
+    """Conflicts and reviews of the linking that touch each lineage, each counted once."""
+    judged = cut(_bills(spark, d))
+    bills = cut(judged.where("verdict <> 'DUPLICATE_IMPORT'"))
     links = _links(spark, d, bills)
-    root_of = lineages.roots(bills, links.where("verdict = 'accepted'"))
-    notes = links.where("verdict <> 'accepted'").select(F.concat_ws(">", "left_id", "right_id").alias("note_id"), F.explode(F.array("left_id", "right_id")).alias("record_id"))
-    return lineages.touch_counts(notes, root_of)
+    root_of = cut(lineages.roots(bills, links.where("verdict = 'accepted'")))
+    count = lambda rows, name: lineages.touch_counts(rows.select(F.concat_ws(":", "kind", "record_ids").alias("note_id"), F.explode(F.split("record_ids", r"\|")).alias("record_id")), root_of).withColumnRenamed("n", name)
+    both = count(_link_conflicts(judged, bills, links), "n_conflicts").join(count(_reviews(judged, bills, links), "n_reviews"), "root_id", "full")
+    return both.select("root_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_conflicts", "n_reviews")])
 
 
 def coverage(spark, d):
@@ -165,7 +245,7 @@ def coverage(spark, d):
 
 
 def over_allocation(spark, d):
-    return money.over_allocated(money.payments_of(_events(spark, d)), money.allocations_of(_allocations(spark, d)))
+    return money.over_allocated(money.payments_of(_paying(spark, d)), money.allocations_of(_allocations(spark, d)))
 
 
 def _parts(spark: SparkSession, d: str, events: DataFrame) -> DataFrame:
@@ -173,23 +253,21 @@ def _parts(spark: SparkSession, d: str, events: DataFrame) -> DataFrame:
 
 
 def posted_by_bill(spark, d):
-    return money.posted(_parts(spark, d, _events(spark, d)))
+    return money.posted(_parts(spark, d, _paying(spark, d)))
 
 
 def reversal_cap(spark, d):
-    events = cut(_events(spark, d))
+    events = cut(_paying(spark, d))
     return money.capped(money.reversals_of(events)[0], money.payments_of(events)).select("reversal_id", "event_id", "taken")
 
 
 def unresolved_reversals(spark, d):
-    return money.reversals_of(_events(spark, d))[1]
+    return money.reversals_of(_paying(spark, d))[1]
 
 
 def amounts_by_bill(spark, d):
     """Gross, reversed, net and unallocated amounts; reversals divided over the owners of their payment."""
-    events = cut(_events(spark, d))
-    parts = cut(_parts(spark, d, events))
-    return money.amounts(parts, money.reversed_by_owner(parts, money.capped(money.reversals_of(events)[0], money.payments_of(events))))
+    return _amounts(spark, d, _owner_of(spark, d))
 
 
 def _timed(spark: SparkSession, d: str) -> DataFrame:
@@ -290,7 +368,7 @@ def bi_measures(spark, d):
     """Report measures per organisation."""
     tune(spark)
     bills = table(spark, d, "bills").groupBy("org_token").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("record_id").alias("n_records"), F.sum(F.col("billed_amount_minor").rlike(r"\A[0-9]{1,18}\z").cast("long") * F.coalesce(F.when(F.col("billed_amount_minor").rlike(r"\A[0-9]{1,18}\z"), F.col("billed_amount_minor")).try_cast("long"), F.lit(0))).alias("billed"))
-    links = table(spark, d, "links").withColumn("org_token", F.substring("left_record_id", 1, 3)).groupBy("org_token").agg(F.count(F.lit(1)).alias("n_links"), F.count_if(F.lower(F.trim("decision")) == "review").alias("n_review"))
+    links = table(spark, d, "links").join(table(spark, d, "bills").groupBy(F.col("record_id").alias("left_record_id")).agg(F.min("org_token").alias("org_token")), "left_record_id").groupBy("org_token").agg(F.count(F.lit(1)).alias("n_links"), F.count_if(F.lower(F.trim("decision")) == "review").alias("n_review"))
     return bills.join(links, "org_token", "left").withColumn("review_per_million", F.floor(F.try_divide(F.col("n_review") * 1_000_000, F.col("n_links"))).cast("long"))
 
 
@@ -299,7 +377,7 @@ QUERIES = {
     for f in (
         normalize_bills, normalize_events, normalize_allocations, normalize_windows, validation_findings, extra_payers, asof_counts, duplicate_bills,
         duplicate_events, r1_links, r2_links, r2_ambiguous, r3_candidates, r3_unique, link_verdicts, several_successors, lineage_roots, lineage_summary,
-        lineage_bridge, lineage_notes, coverage, over_allocation, posted_by_bill, reversal_cap, unresolved_reversals, amounts_by_bill, effective_times,
+        lineage_bridge, lineage_notes, lineage_amounts, lineage_status, conflicts, review_queue, coverage, over_allocation, posted_by_bill, reversal_cap, unresolved_reversals, amounts_by_bill, effective_times,
         landmark_snapshots, outcome_histogram, interval_rows, temporal_split, b0_rates, b0_scores, b1_predictions, linkage_agreement, a0_agreement,
         exact_id_agreement, bi_measures,
     )

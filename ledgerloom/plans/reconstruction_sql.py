@@ -17,6 +17,8 @@ _NE0 = f"SELECT *, {_us('event_at')} AS event_us, epoch_us(available_at) AS avai
 _VALID_E = "coalesce(event_us IS NOT NULL AND available_us IS NOT NULL AND coalesce(amount, 0) >= 0, false)"
 _ONCE = "(SELECT * FROM billing_events WHERE coalesce(event_id, '') <> '' QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY delivery_id) = 1 UNION ALL SELECT * FROM billing_events WHERE coalesce(event_id, '') = '')"
 _E = f"e AS (SELECT * FROM ({_NE0} {_ONCE}) WHERE {_VALID_E})"
+_DEDUP = "QUALIFY first_value(event_id) OVER (PARTITION BY org_token, source_system, bill_record_id, event_type, event_us, amount, currency ORDER BY available_us, event_id) = event_id"
+_P = f"e AS (SELECT * FROM ({_NE0} {_ONCE}) WHERE {_VALID_E} {_DEDUP})"
 _NA = f"SELECT *, epoch_us(available_at) AS available_us, {_long('allocated_amount_minor')} AS amount FROM"
 _VALID_A = "coalesce(available_us IS NOT NULL AND amount > 0 AND currency = 'USD', false)"
 _A = f"a AS (SELECT * FROM ({_NA} (SELECT DISTINCT * FROM allocations)) WHERE {_VALID_A})"
@@ -52,6 +54,11 @@ v AS (SELECT left_id, right_id, rule, CASE WHEN l.record_id IS NULL OR r.record_
   WHEN left_id = right_id OR EXISTS (SELECT 1 FROM anc WHERE anc.node = left_id AND anc.up = right_id) THEN 'CYCLE_REFERENCE' ELSE 'accepted' END AS verdict,
   coalesce(rule <> 'R3_amount_date_window' AND l.sub > r.sub, false) AS is_late_parent FROM p LEFT JOIN k l ON l.record_id = left_id LEFT JOIN k r ON r.record_id = right_id)"""
 _LINKS = f"WITH RECURSIVE {_BASE}, {_R1}, {_R2}, {_R3}, {_DEG}, {_PROPOSED}, {_VERDICTS}"
+_ROOTS = """pl AS (SELECT right_id AS node, arg_max(left_id, (rule, left_id)) AS parent FROM v WHERE verdict = 'accepted' GROUP BY 1), ids AS (SELECT DISTINCT record_id AS id FROM b),
+pk AS (SELECT * FROM pl WHERE node IN (SELECT id FROM ids) AND parent IN (SELECT id FROM ids)),
+cl AS (SELECT node, parent AS up FROM pk UNION SELECT cl.node, pk.parent FROM cl JOIN pk ON pk.node = cl.up),
+op AS (SELECT * FROM pk WHERE node NOT IN (SELECT node FROM cl WHERE node = up)),
+rt AS (SELECT id, id AS root FROM ids WHERE id NOT IN (SELECT node FROM op) UNION ALL SELECT op.node, rt.root FROM rt JOIN op ON op.parent = rt.id)"""
 _OWNER = "own AS (SELECT record_id, min(concat_ws('|', org_token, source_system, bill_id)) AS owner FROM bills GROUP BY 1)"
 _PAY = "pay AS (SELECT event_id, min(coalesce(bill_record_id, '')) AS own_record, arg_min(amount, (coalesce(bill_record_id, ''), amount)) AS amount FROM e WHERE event_type = 'PAYMENT_POSTED' AND amount > 0 AND coalesce(currency, '') IN ('', 'USD') GROUP BY 1)"
 _OVER = "ov AS (SELECT pay.event_id, any_value(pay.amount) AS amount, sum(a.amount)::BIGINT AS allocated FROM pay JOIN a ON a.payment_event_id = pay.event_id GROUP BY 1 HAVING sum(a.amount) > any_value(pay.amount))"
@@ -60,6 +67,22 @@ al AS (SELECT payment_event_id AS event_id, coalesce(own.owner, 'UNLINKED') AS o
 tot AS (SELECT event_id, sum(amount)::BIGINT AS given, count(*) AS n, min(owner) AS sole FROM al GROUP BY 1),
 rest AS (SELECT free.event_id, CASE WHEN own_record <> '' THEN coalesce(own.owner, 'UNLINKED') WHEN n = 1 THEN sole ELSE 'UNLINKED' END AS owner, amount - coalesce(given, 0) AS amount FROM free LEFT JOIN tot USING (event_id) LEFT JOIN own ON own.record_id = own_record),
 parts AS (SELECT event_id, owner, amount, 0 AS unallocated FROM al UNION ALL SELECT event_id, owner, amount, amount FROM rest WHERE amount > 0)"""
+_OWNED = "own AS (SELECT id AS record_id, root AS owner FROM rt)"
+#: Reversals divided over the parts of their payment, one after another: floored shares, the last part the rest, the excess to others in turn.
+_BACK = """pp AS (SELECT event_id, owner, sum(amount)::BIGINT AS amount, min(seen) AS seen FROM (SELECT event_id, owner, amount, NULL AS seen FROM rest WHERE amount > 0
+  UNION ALL SELECT payment_event_id, coalesce(own.owner, 'UNLINKED'), a.amount, (a.available_us, a.allocation_id) FROM a JOIN free ON free.event_id = payment_event_id LEFT JOIN own ON own.record_id = trim(a.bill_record_id) WHERE trim(coalesce(a.bill_record_id, '')) <> '') GROUP BY 1, 2),
+hp AS (SELECT event_id, list(owner ORDER BY seen NULLS LAST, owner) AS owners, list(amount ORDER BY seen NULLS LAST, owner) AS gross FROM pp GROUP BY 1),
+rv AS (SELECT e.event_id AS reversal_id, trim(reverses_event_id) AS event_id, coalesce(amount, 0) AS amount, available_us FROM e WHERE event_type = 'PAYMENT_REVERSED' AND coalesce(currency, '') IN ('', 'USD') AND trim(coalesce(reverses_event_id, '')) <> ''),
+rc AS (SELECT reversal_id, event_id, rv.amount, available_us, pay.amount AS whole, sum(rv.amount) OVER (PARTITION BY event_id ORDER BY available_us, reversal_id ROWS UNBOUNDED PRECEDING) AS total FROM rv JOIN pay USING (event_id)),
+tk AS (SELECT event_id, taken, row_number() OVER (PARTITION BY event_id ORDER BY available_us, reversal_id, taken) AS k FROM (SELECT *, (least(total, whole) - least(total - amount, whole))::BIGINT AS taken FROM rc) WHERE taken > 0),
+bk AS (SELECT event_id, 0::BIGINT AS k, owners, gross, gross AS held FROM hp
+  UNION ALL SELECT event_id, k, owners, gross, list_transform(range(1, len(gross) + 1), lambda i: room[i] - greatest(0, least(room[i], over - coalesce(list_sum(room[1:i-1]), 0)))::BIGINT) FROM
+  (SELECT *, (taken - list_sum(got))::BIGINT AS over, list_transform(range(1, len(gross) + 1), lambda i: held[i] - got[i]) AS room FROM
+  (SELECT *, list_transform(range(1, len(gross) + 1), lambda i: least(held[i], CASE WHEN i = len(gross) THEN taken - coalesce(list_sum(fl[1:i-1]), 0) ELSE fl[i] END)::BIGINT) AS got FROM
+  (SELECT bk.event_id, bk.k + 1 AS k, owners, gross, held, taken, list_transform(gross, lambda g: (taken::HUGEINT * g // list_sum(gross)::HUGEINT)::BIGINT) AS fl FROM bk JOIN tk ON tk.event_id = bk.event_id AND tk.k = bk.k + 1)))),
+lb AS (SELECT owners, gross, held FROM bk QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY k DESC) = 1),
+bo AS (SELECT unnest(owners) AS owner, unnest(gross) - unnest(held) AS r FROM lb),
+am AS (SELECT owner, gross, coalesce(r, 0)::BIGINT AS reversed, gross - coalesce(r, 0)::BIGINT AS net, unallocated FROM (SELECT owner, sum(amount)::BIGINT AS gross, sum(unallocated)::BIGINT AS unallocated FROM parts GROUP BY 1) LEFT JOIN (SELECT owner, sum(r) AS r FROM bo GROUP BY 1) USING (owner))"""
 _TIMED = """g AS (SELECT payment_event_id AS event_id, owner, min(available_us) AS given FROM a JOIN own ON own.record_id = a.bill_record_id GROUP BY 1, 2),
 tm0 AS (SELECT e.event_id, e.event_type, e.amount, e.available_us, own.owner FROM e JOIN own ON own.record_id = e.bill_record_id
   UNION ALL SELECT e.event_id, e.event_type, e.amount, e.available_us, g.owner FROM e JOIN g USING (event_id) WHERE e.bill_record_id IS NULL OR e.bill_record_id NOT IN (SELECT record_id FROM own)),
@@ -129,6 +152,23 @@ _FINDINGS = " UNION ALL ".join((
         ("coverage_status", "unknown status", "ERROR", "coalesce(coverage_status NOT IN ('complete', 'partial', 'unknown'), true)")]),
 ))
 
+_LINEAGES = f"""{_LINKS}, {_ROOTS}, {_E}, {_W}, {_COV},
+m AS (SELECT b.*, root FROM b JOIN rt ON rt.id = b.record_id),
+li AS (SELECT root AS root_id, array_to_string(list(DISTINCT record_id ORDER BY record_id), '|') AS record_ids, min(org_token) AS org_token, min(nullif(payer_token, '')) AS payer, arg_max(amount, (submitted_us, -available_us, amount)) AS amount FROM m GROUP BY 1),
+cz AS (SELECT DISTINCT root FROM e JOIN rt ON rt.id = e.bill_record_id WHERE event_type = 'CLOSED_NO_PAYMENT'),
+ls AS (SELECT 'run-' || substr(root_id, 1, 8) || '-' || root_id AS lineage_id, root_id, record_ids, org_token, CASE WHEN root_id IN (SELECT root FROM cz) THEN 'CLOSED_NO_PAYMENT' ELSE 'OPEN' END AS status, {_CAT} AS payer_category, amount,
+  CASE WHEN coverage_end_us IS NOT NULL THEN 'complete' ELSE 'unknown' END AS coverage_status, coverage_end_us FROM li LEFT JOIN cov USING (org_token))"""
+_MONEY = f"{_LINKS}, {_ROOTS}, {_P}, {_A}, {_OWNED}, {_PAY}, {_OVER}, {_PARTS}, {_BACK}"
+_LINK_NOTES = """lc AS (SELECT CASE WHEN same THEN 'DUPLICATE_IMPORT' ELSE 'CONFLICTING_DUPLICATE_KEY' END AS kind, concat_ws('|', first_id, record_id) AS record_ids FROM jb WHERE rn > 1
+  UNION SELECT verdict, left_id || '|' || right_id FROM v WHERE verdict IN ('CROSS_ORG_REFERENCE', 'CYCLE_REFERENCE')
+  UNION SELECT 'TIME_ORDER_VIOLATION', left_id || '|' || right_id FROM v WHERE verdict = 'accepted' AND is_late_parent
+  UNION SELECT 'MULTIPLE_SUCCESSOR', left_id FROM v WHERE verdict = 'accepted' GROUP BY left_id HAVING count(*) > 1)"""
+_REVIEWS = """rq AS (SELECT 'CONFLICTING_DUPLICATE_KEY' AS kind, concat_ws('|', first_id, record_id) AS record_ids FROM jb WHERE rn > 1 AND NOT same
+  UNION SELECT verdict, left_id || '|' || right_id FROM v WHERE verdict = 'DANGLING_REFERENCE'
+  UNION SELECT 'AMBIGUOUS_VERSION_SET', record_id FROM g2 WHERE amb AND size > 1
+  UNION SELECT 'MULTI_CANDIDATE_AMBIGUITY', left_id || '|' || right_id FROM r3 WHERE (left_id, right_id) NOT IN (SELECT (left_id, right_id) FROM u3))"""
+_TOUCH = "(SELECT root, count(DISTINCT note) AS n FROM (SELECT kind || ':' || record_ids AS note, unnest(string_split(record_ids, '|')) AS id FROM {t}) JOIN rt USING (id) GROUP BY 1)"
+
 SQL = {
     "normalize_bills": f"WITH {_NB} SELECT record_id, submitted_us, amount, is_valid FROM nb",
     "normalize_events": f"SELECT delivery_id, event_us, amount, {_VALID_E} AS is_valid FROM ({_NE0} billing_events)",
@@ -146,13 +186,25 @@ SQL = {
     "r3_unique": f"WITH {_BASE}, {_R3}, {_DEG} SELECT * FROM u3",
     "link_verdicts": f"{_LINKS} SELECT * FROM v",
     "several_successors": f"{_LINKS} SELECT left_id, count(*) AS n_successors FROM v WHERE verdict = 'accepted' GROUP BY 1 HAVING count(*) > 1",
+    "lineage_roots": f"{_LINKS}, {_ROOTS} SELECT id AS record_id, root AS root_id FROM rt",
+    "lineage_summary": f"{_LINEAGES} SELECT * FROM ls",
+    "lineage_bridge": f"{_LINEAGES} SELECT DISTINCT lineage_id, m.record_id FROM ls JOIN m ON m.root = ls.root_id",
+    "lineage_amounts": f"{_MONEY} SELECT owner, coalesce(gross, 0) AS gross, coalesce(reversed, 0) AS reversed, coalesce(net, 0) AS net, coalesce(unallocated, 0) AS unallocated FROM am FULL JOIN (SELECT DISTINCT root AS owner FROM rt) USING (owner)",
+    "lineage_status": f"""{_MONEY}, cz AS (SELECT DISTINCT root FROM ({_NE0} {_ONCE}) x JOIN rt ON rt.id = x.bill_record_id WHERE {_VALID_E} AND event_type = 'CLOSED_NO_PAYMENT'), st AS (SELECT DISTINCT root AS root_id, root IN (SELECT root FROM cz) AS closed FROM rt)
+      SELECT root_id, CASE WHEN coalesce(gross, 0) > 0 THEN CASE WHEN closed THEN 'REOPENED_OR_POST_CLOSE_PAYMENT' ELSE 'PAYMENT_OBSERVED' END WHEN closed THEN 'CLOSED_NO_PAYMENT' ELSE 'OPEN' END AS status FROM st LEFT JOIN am ON am.owner = root_id""",
+    "conflicts": f"""{_LINKS}, {_LINK_NOTES}, {_P}, {_A}, {_PAY}, {_OVER} SELECT kind AS conflict_type, record_ids FROM lc
+      UNION SELECT 'NON_USD_EVENT', event_id FROM e WHERE coalesce(currency, '') NOT IN ('', 'USD') UNION SELECT 'NON_USD_ALLOCATION', allocation_id FROM a WHERE coalesce(currency, '') <> 'USD' UNION SELECT 'OVER_ALLOCATION', event_id FROM ov
+      UNION SELECT 'UNRESOLVED_REVERSAL', event_id FROM e WHERE event_type = 'PAYMENT_REVERSED' AND coalesce(currency, '') IN ('', 'USD') AND trim(coalesce(reverses_event_id, '')) = ''""",
+    "review_queue": f"{_LINKS}, {_REVIEWS} SELECT kind AS review_type, record_ids FROM rq",
+    "lineage_notes": f"{_LINKS}, {_ROOTS}, {_LINK_NOTES}, {_REVIEWS} SELECT root AS root_id, coalesce(x.n, 0) AS n_conflicts, coalesce(y.n, 0) AS n_reviews FROM {_TOUCH.format(t='lc')} x FULL JOIN {_TOUCH.format(t='rq')} y USING (root)",
+    "amounts_by_bill": f"WITH RECURSIVE {_P}, {_A}, {_OWNER}, {_PAY}, {_OVER}, {_PARTS}, {_BACK} SELECT * FROM am",
     "coverage": f"WITH {_W}, {_COV} SELECT * FROM cov",
-    "over_allocation": f"WITH {_E}, {_A}, {_PAY}, {_OVER} SELECT * FROM ov",
-    "posted_by_bill": f"WITH {_E}, {_A}, {_OWNER}, {_PAY}, {_OVER}, {_PARTS} SELECT owner, sum(amount)::BIGINT AS gross, sum(unallocated)::BIGINT AS unallocated FROM parts GROUP BY 1",
-    "reversal_cap": f"""WITH {_E}, {_PAY}, r AS (SELECT e.event_id AS reversal_id, trim(reverses_event_id) AS event_id, coalesce(amount, 0) AS amount, available_us FROM e WHERE event_type = 'PAYMENT_REVERSED' AND coalesce(currency, '') IN ('', 'USD') AND trim(coalesce(reverses_event_id, '')) <> ''),
+    "over_allocation": f"WITH {_P}, {_A}, {_PAY}, {_OVER} SELECT * FROM ov",
+    "posted_by_bill": f"WITH {_P}, {_A}, {_OWNER}, {_PAY}, {_OVER}, {_PARTS} SELECT owner, sum(amount)::BIGINT AS gross, sum(unallocated)::BIGINT AS unallocated FROM parts GROUP BY 1",
+    "reversal_cap": f"""WITH {_P}, {_PAY}, r AS (SELECT e.event_id AS reversal_id, trim(reverses_event_id) AS event_id, coalesce(amount, 0) AS amount, available_us FROM e WHERE event_type = 'PAYMENT_REVERSED' AND coalesce(currency, '') IN ('', 'USD') AND trim(coalesce(reverses_event_id, '')) <> ''),
       c AS (SELECT reversal_id, event_id, r.amount, pay.amount AS whole, sum(r.amount) OVER (PARTITION BY event_id ORDER BY available_us, reversal_id ROWS UNBOUNDED PRECEDING) AS total FROM r JOIN pay USING (event_id))
       SELECT reversal_id, event_id, (least(total, whole) - least(total - amount, whole))::BIGINT AS taken FROM c""",
-    "unresolved_reversals": f"WITH {_E} SELECT DISTINCT event_id FROM e WHERE event_type = 'PAYMENT_REVERSED' AND coalesce(currency, '') IN ('', 'USD') AND trim(coalesce(reverses_event_id, '')) = ''",
+    "unresolved_reversals": f"WITH {_P} SELECT DISTINCT event_id FROM e WHERE event_type = 'PAYMENT_REVERSED' AND coalesce(currency, '') IN ('', 'USD') AND trim(coalesce(reverses_event_id, '')) = ''",
     "effective_times": f"WITH {_E}, {_A}, {_OWNER}, {_TIMED} SELECT owner, event_id, at_us FROM tm",
     "landmark_snapshots": f"{_SNAPS} SELECT * FROM s",
     "outcome_histogram": f"{_SNAPS} SELECT outcome, count(*) AS n FROM s GROUP BY 1",
@@ -168,6 +220,6 @@ SQL = {
     "a0_agreement": f"WITH {_BASE}, {_TRUTH}, {_agree('SELECT record_id AS left_id, lead(record_id) OVER (PARTITION BY org_token ORDER BY submitted_us, record_id) AS right_id FROM b')}",
     "exact_id_agreement": f"WITH {_BASE}, {_R1}, {_TRUTH}, {_agree('SELECT * FROM r1')}",
     "bi_measures": """WITH x AS (SELECT org_token, count(*) AS n_rows, count(DISTINCT record_id) AS n_records, sum(CASE WHEN regexp_full_match(billed_amount_minor, '[0-9]{1,18}') THEN billed_amount_minor::BIGINT WHEN billed_amount_minor IS NOT NULL THEN 0 END)::BIGINT AS billed FROM bills GROUP BY 1),
-      y AS (SELECT substr(left_record_id, 1, 3) AS org_token, count(*) AS n_links, count(*) FILTER (lower(trim(decision)) = 'review') AS n_review FROM links GROUP BY 1)
+      y AS (SELECT o AS org_token, count(*) AS n_links, count(*) FILTER (lower(trim(decision)) = 'review') AS n_review FROM links JOIN (SELECT record_id, min(org_token) AS o FROM bills GROUP BY 1) ON record_id = left_record_id GROUP BY 1)
       SELECT x.*, n_links, n_review, n_review * 1000000 // n_links AS review_per_million FROM x LEFT JOIN y USING (org_token)""",
 }
