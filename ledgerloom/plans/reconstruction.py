@@ -6,6 +6,8 @@ string, in the queries named by_bill and those on landmarks; `lineage_*` queries
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,25 +142,35 @@ def several_successors(spark, d):
     return linkage.several_successors(_links(spark, d, bills).where("verdict = 'accepted'"))
 
 
-def _rooted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(kept bills, link verdicts, record_id and root_id of every record)."""
-    bills = cut(_kept(spark, d))
+@dataclass
+class Linked:
+    """The linking of one set of tables, computed once: judged bills, those that are kept, link verdicts, record_id and root_id."""
+
+    judged: DataFrame
+    bills: DataFrame
+    links: DataFrame
+    root_of: DataFrame
+
+
+def linked(spark: SparkSession, d: str) -> Linked:
+    judged = cut(_bills(spark, d))
+    bills = cut(judged.where("verdict <> 'DUPLICATE_IMPORT'"))
     links = _links(spark, d, bills)
-    return bills, links, cut(lineages.roots(bills, links.where("verdict = 'accepted'")))
+    return Linked(judged, bills, links, cut(lineages.roots(bills, links.where("verdict = 'accepted'"))))
 
 
 def lineage_roots(spark, d):
-    return _rooted(spark, d)[2]
+    return linked(spark, d).root_of
 
 
-def _lineages(spark: SparkSession, d: str) -> DataFrame:
-    bills, _, root_of = _rooted(spark, d)
-    return lineages.summarise(bills, root_of, _events(spark, d), _windows(spark, d))
+def _lineages(spark: SparkSession, d: str, known: Linked | None = None) -> DataFrame:
+    known = known or linked(spark, d)
+    return lineages.summarise(known.bills, known.root_of, _events(spark, d), _windows(spark, d))
 
 
-def lineage_summary(spark, d):
+def lineage_summary(spark, d, known=None):
     """One row per lineage; its members as one text, in order."""
-    return _lineages(spark, d).withColumn("record_ids", F.array_join("record_ids", "|"))
+    return _lineages(spark, d, known).withColumn("record_ids", F.array_join("record_ids", "|"))
 
 
 def lineage_bridge(spark, d):
@@ -171,23 +183,24 @@ def _amounts(spark: SparkSession, d: str, owner_of: DataFrame) -> DataFrame:
     return money.amounts(parts, money.reversed_by_owner(parts, money.capped(money.reversals_of(events)[0], money.payments_of(events))))
 
 
-def lineage_amounts(spark, d):
+def lineage_amounts(spark, d, known=None):
     """Money per lineage, duplicate events left out; what belongs to none stands under UNLINKED, lineages without money have zeros."""
-    _, _, root_of = _rooted(spark, d)
+    root_of = (known or linked(spark, d)).root_of
     found = _amounts(spark, d, root_of.withColumnRenamed("root_id", "owner"))
     every = root_of.select(F.col("root_id").alias("owner")).distinct().join(found, "owner", "full")
     return every.select("owner", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gross", "reversed", "net", "unallocated")])
 
 
-def lineage_status(spark, d):
+def lineage_status(spark, d, known=None):
     """Status of every lineage: open or closed, or paid, which a closed one is only after reopening."""
-    bills, _, root_of = _rooted(spark, d)
-    base = lineages.summarise(bills, root_of, _events(spark, d), _windows(spark, d)).select("root_id", "status")
-    found = _amounts(spark, d, root_of.withColumnRenamed("root_id", "owner")).select(F.col("owner").alias("root_id"), "gross")
+    known = known or linked(spark, d)
+    base = _lineages(spark, d, known).select("root_id", "status")
+    found = _amounts(spark, d, known.root_of.withColumnRenamed("root_id", "owner")).select(F.col("owner").alias("root_id"), "gross")
     return base.join(found, "root_id", "left").select("root_id", lineages.paid_status(F.col("status"), F.col("gross")).alias("status"))
 
 
-def _link_conflicts(judged: DataFrame, bills: DataFrame, links: DataFrame) -> DataFrame:
+def _link_conflicts(known: Linked) -> DataFrame:
+    judged, links = known.judged, known.links
     pair = F.concat_ws("|", "left_id", "right_id")
     return lineages.notes(
         judged.where("verdict <> 'first'").select(F.col("verdict").alias("kind"), F.concat_ws("|", "first_id", "record_id").alias("record_ids")),
@@ -197,7 +210,8 @@ def _link_conflicts(judged: DataFrame, bills: DataFrame, links: DataFrame) -> Da
     )
 
 
-def _reviews(judged: DataFrame, bills: DataFrame, links: DataFrame) -> DataFrame:
+def _reviews(known: Linked) -> DataFrame:
+    judged, bills, links = known.judged, known.bills, known.links
     pair = F.concat_ws("|", "left_id", "right_id")
     return lineages.notes(
         judged.where("verdict = 'CONFLICTING_DUPLICATE_KEY'").select(F.col("verdict").alias("kind"), F.concat_ws("|", "first_id", "record_id").alias("record_ids")),
@@ -207,10 +221,8 @@ def _reviews(judged: DataFrame, bills: DataFrame, links: DataFrame) -> DataFrame
     )
 
 
-def conflicts(spark, d):
+def conflicts(spark, d, known=None):
     """Everything that contradicts itself, as rows: duplicates, links that cross, turn or run back in time, and money."""
-    judged = cut(_bills(spark, d))
-    bills = cut(judged.where("verdict <> 'DUPLICATE_IMPORT'"))
     events = cut(_paying(spark, d))
     paid = money.payments_of(events)
     of_money = lineages.notes(
@@ -219,24 +231,19 @@ def conflicts(spark, d):
         money.over_allocated(paid, money.allocations_of(_allocations(spark, d))).select(F.lit("OVER_ALLOCATION").alias("kind"), F.col("event_id").alias("record_ids")),
         money.reversals_of(events)[1].select(F.lit("UNRESOLVED_REVERSAL").alias("kind"), F.col("event_id").alias("record_ids")),
     )
-    return _link_conflicts(judged, bills, _links(spark, d, bills)).unionByName(of_money).select(F.col("kind").alias("conflict_type"), "record_ids")
+    return _link_conflicts(known or linked(spark, d)).unionByName(of_money).select(F.col("kind").alias("conflict_type"), "record_ids")
 
 
-def review_queue(spark, d):
+def review_queue(spark, d, known=None):
     """What a person has to look at, as rows."""
-    judged = cut(_bills(spark, d))
-    bills = cut(judged.where("verdict <> 'DUPLICATE_IMPORT'"))
-    return _reviews(judged, bills, _links(spark, d, bills)).select(F.col("kind").alias("review_type"), "record_ids")
+    return _reviews(known or linked(spark, d)).select(F.col("kind").alias("review_type"), "record_ids")
 
 
-def lineage_notes(spark, d):
+def lineage_notes(spark, d, known=None):
     """Conflicts and reviews of the linking that touch each lineage, each counted once."""
-    judged = cut(_bills(spark, d))
-    bills = cut(judged.where("verdict <> 'DUPLICATE_IMPORT'"))
-    links = _links(spark, d, bills)
-    root_of = cut(lineages.roots(bills, links.where("verdict = 'accepted'")))
-    count = lambda rows, name: lineages.touch_counts(rows.select(F.concat_ws(":", "kind", "record_ids").alias("note_id"), F.explode(F.split("record_ids", r"\|")).alias("record_id")), root_of).withColumnRenamed("n", name)
-    both = count(_link_conflicts(judged, bills, links), "n_conflicts").join(count(_reviews(judged, bills, links), "n_reviews"), "root_id", "full")
+    known = known or linked(spark, d)
+    count = lambda rows, name: lineages.touch_counts(rows.select(F.concat_ws(":", "kind", "record_ids").alias("note_id"), F.explode(F.split("record_ids", r"\|")).alias("record_id")), known.root_of).withColumnRenamed("n", name)
+    both = count(_link_conflicts(known), "n_conflicts").join(count(_reviews(known), "n_reviews"), "root_id", "full")
     return both.select("root_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_conflicts", "n_reviews")])
 
 
