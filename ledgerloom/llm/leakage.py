@@ -10,7 +10,8 @@ start of another, as columns and adverts scatter a passage. The words of the ite
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
 
@@ -59,6 +60,8 @@ def fold_table() -> np.ndarray:
 
 def _classes(codes: np.ndarray) -> np.ndarray:
     table = fold_table()
+    if not len(codes) or codes.max() < len(table):
+        return table[codes]
     return np.where(codes < len(table), table[np.minimum(codes, len(table) - 1)], np.where(codes < 0x32000, codes, 0)).astype(np.int32)
 
 
@@ -130,7 +133,7 @@ class Page:
 
     letters: np.ndarray
     figures: np.ndarray
-    segments: list[int]
+    segments: np.ndarray
 
 
 def make_page(text: str) -> Page:
@@ -140,9 +143,12 @@ def make_page(text: str) -> Page:
     blank = codes == 32
     cut = (codes == 10) | (codes == 13)
     cut[1:] |= blank[1:] & blank[:-1]
-    segment = np.cumsum(cut)[kept]
-    starts = np.flatnonzero(np.diff(segment, prepend=-1))
-    return Page(classes[kept], _figures(codes[kept]), [*starts.tolist(), len(segment)])
+    at = np.flatnonzero(kept)
+    starts = np.searchsorted(at, np.flatnonzero(cut))
+    starts = starts[(starts > 0) & (starts < len(at))]
+    marks = np.empty(len(starts) + 2, dtype=np.int64)
+    marks[0], marks[1:-1], marks[-1] = 0, starts, len(at)
+    return Page(classes[at], _figures(codes[at]), np.concatenate([marks[:1], marks[1:][marks[1:] > marks[:-1]]]))
 
 
 def matches(page: Page, page_hashes: np.ndarray, item: Item) -> list[tuple[int, int, int]]:
@@ -182,6 +188,8 @@ REACH, COVERAGE = 6, 0.85
 BREAK = 4
 #: Places left free between items that lie on one line; more than a gap.
 PAD = 32
+#: More than any class of letters.
+LED = 1 << 18
 #: Letters of pages that are searched at once, and pairs of a page and an item at most.
 LETTERS, PAIRS = 50_000, 1_000_000
 
@@ -245,9 +253,9 @@ def mark(found: list[tuple[int, int, int, int]], least: int, length: int) -> lis
     return marked
 
 
-def _trimmed(tiles: list[tuple[int, int, int, int]], marks: np.ndarray) -> tuple[np.ndarray, ...]:
+def _trimmed(tiles: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, ...]:
     """d0, d1, i0, i1 in order of the item, without the few letters by which tiles reach, by chance, into the segment before or after."""
-    d0, d1, i0, i1 = np.array(tiles, dtype=np.int64).reshape(-1, 4).T.copy()
+    d0, d1, i0, i1 = tiles
     wide = d1 - d0 > 4 * EDGE
     after = np.searchsorted(marks, d0, "right")
     lead = np.where(wide & (marks[after] - d0 <= EDGE) & (marks[after - 1] < d0), marks[after] - d0, 0)
@@ -259,8 +267,8 @@ def _trimmed(tiles: list[tuple[int, int, int, int]], marks: np.ndarray) -> tuple
     return d0[order], d1[order], i0[order], i1[order]
 
 
-def _links(d0: np.ndarray, d1: np.ndarray, i0: np.ndarray, i1: np.ndarray, marks: np.ndarray, long_tile: int) -> list[tuple[int, int, int]]:
-    """(tile, earlier tile, letters that the link adds) of all tiles that may follow each other, by tile."""
+def _links(d0: np.ndarray, d1: np.ndarray, i0: np.ndarray, i1: np.ndarray, marks: np.ndarray, long_tile: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Tile, earlier tile and letters that the link adds, of all tiles that may follow each other, by tile."""
     by_end = np.argsort(i1, kind="stable")
     ends = i1[by_end]
     low, high = np.searchsorted(ends, i0 - 2 * EDGE), np.searchsorted(ends, i0 + 3, "right")
@@ -270,33 +278,59 @@ def _links(d0: np.ndarray, d1: np.ndarray, i0: np.ndarray, i1: np.ndarray, marks
     some = (j < k) & (i1[k] > i1[j])
     k, j = k[some], j[some]
     first, last = np.searchsorted(marks, d0, "right") - 1, np.searchsorted(marks, d1 - 1, "right") - 1
-    head, tail = d0 - marks[first], marks[last + 1] - d1
+    head, tail, wide = d0 - marks[first], marks[last + 1] - d1, np.minimum(d1 - d0, long_tile)
     gap, on = i0[k] - i1[j], d0[k] - d1[j]
     near = (on >= -3) & (on <= 4) & (np.abs(on - gap) <= 2)
     further = first[k] - last[j]
     turn = (tail[j] <= EDGE) & (head[k] <= EDGE) & (np.abs(tail[j] + head[k] - gap) <= 2)
-    turn &= ((further > 0) & (further <= REACH)) | (np.minimum(d1 - d0, long_tile)[k] + np.minimum(d1 - d0, long_tile)[j] >= 2 * long_tile)
+    turn &= ((further > 0) & (further <= REACH)) | (wide[k] + wide[j] >= 2 * long_tile[k])
     kept = near | turn
     more = i1[k] - np.maximum(i0[k], i1[j]) - np.where(turn, 0, BREAK)
-    return list(zip(k[kept].tolist(), j[kept].tolist(), more[kept].tolist(), strict=True))
-
-
-def chains(tiles: list[tuple[int, int, int, int]], page: Page, item: Item) -> tuple[int, int, int, list[tuple[int, int, int, int]]]:
+    return k[kept], j[kept], more[kept]
+
+
+Tiles = list[tuple[int, int, int, int]]
+
+
+def all_chains(jobs: list[tuple[Tiles, Page, Item]]) -> Iterator[tuple[int, int, int, Tiles]]:
+    """`chains` of many pairs of a page and an item, which are laid on one line each so that their links are found at once."""
+    jobs_n = np.array([len(tiles) for tiles, _, _ in jobs], dtype=np.int64)
+    if not jobs_n.sum():
+        yield from ((0, 0, 0, []) for _ in jobs)
+        return
+    lengths = np.array([int(page.segments[-1]) for _, page, _ in jobs])
+    on_page = np.cumsum(lengths + PAD) - lengths
+    on_item = np.arange(len(jobs)) * (max(len(item.letters) for _, _, item in jobs) + PAD)
+    marks = np.concatenate([x + np.asarray(page.segments) for (_, page, _), x in zip(jobs, on_page, strict=True)])
+    job = np.repeat(np.arange(len(jobs)), jobs_n)
+    d, i = on_page[job], on_item[job]
+    tiles = np.array([t for tiles, _, _ in jobs for t in tiles], dtype=np.int64).T + np.stack([d, d, i, i])
+    d0, d1, i0, i1 = _trimmed(tiles, marks)  # pairs stay in order, as their items are
+    k, j, more = _links(d0, d1, i0, i1, marks, np.array([8 if item.unspaced else 24 for _, _, item in jobs])[job])
+    bounds = np.cumsum(np.r_[0, jobs_n])
+    ranges = np.searchsorted(k, bounds).tolist()
+    d0, d1, i0, i1 = ((x - y).tolist() for x, y in ((d0, d), (d1, d), (i0, i), (i1, i)))
+    k, j, more = (k - bounds[job[k]]).tolist(), (j - bounds[job[j]]).tolist(), more.tolist()
+    bounds = bounds.tolist()
+    for a, b, x, y in zip(bounds, bounds[1:], ranges, ranges[1:]):
+        yield _best(d0[a:b], d1[a:b], i0[a:b], i1[a:b], zip(k[x:y], j[x:y], more[x:y], strict=True)) if a < b else (0, 0, 0, [])
+
+
+def chains(tiles: Tiles, page: Page, item: Item) -> tuple[int, int, int, Tiles]:
     """(item start, item end, letters under tiles, tiles) of the chain that spans most of the item, among those with COVERAGE of their span under tiles.
 
     Two tiles are linked if the item goes on where the first ends, and the page either goes on too, or turns from the end of one
     segment to the start of another: a few segments further on, or, where both tiles are long, anywhere (columns in wrong order).
-    For each tile, every start of a chain that ends with it is kept, with the most letters under tiles.
     """
-    if not tiles:
-        return 0, 0, 0, []
-    marks = np.array(page.segments)
-    d0, d1, i0, i1 = _trimmed(tiles, marks)
-    longest = int(np.argmax(i1 - i0))
-    starts, stops = i0.tolist(), i1.tolist()
+    return next(all_chains([(tiles, page, item)]))
+
+
+def _best(d0: list[int], d1: list[int], starts: list[int], stops: list[int], links: Iterable[tuple[int, int, int]]) -> tuple[int, int, int, Tiles]:
+    """The chain that `chains` returns. For each tile, every start of a chain that ends with it is kept, with the most letters under tiles."""
+    longest = max(range(len(starts)), key=lambda k: stops[k] - starts[k])
     best = (starts[longest], stops[longest], stops[longest] - starts[longest], longest)
     states: dict[int, dict[int, tuple[int, int]]] = {}  # of linked tiles, by start: letters under tiles, tile before
-    for k, j, more in _links(d0, d1, i0, i1, marks, 8 if item.unspaced else 24):
+    for k, j, more in links:
         for x in (j, k):
             if x not in states:
                 states[x] = {starts[x]: (stops[x] - starts[x], -1)}
@@ -308,7 +342,7 @@ def chains(tiles: list[tuple[int, int, int, int]], page: Page, item: Item) -> tu
                     best = (begin, end, under + more, k)
     path, k = [], best[3]
     while k >= 0:
-        path.append((int(d0[k]), int(d1[k]), starts[k], stops[k]))
+        path.append((d0[k], d1[k], starts[k], stops[k]))
         k = states[k][best[0]][1] if k in states else -1
     return (*best[:3], path[::-1])
 
@@ -317,8 +351,9 @@ def words_under(item: Item, begin: int, end: int) -> int:
     """Words of which the span begin..end of letters holds more than half; characters, marks among them included, without blanks."""
     if item.unspaced:
         return int(item.places[end - 1] - item.places[begin]) + 1 if end > begin else 0
-    stops = [*item.starts[1:], len(item.letters)]
-    return sum(1 for a, b in zip(item.starts, stops, strict=True) if 2 * (min(b, end) - max(a, begin)) > b - a)
+    own = item.starts[max(0, bisect_right(item.starts, begin) - 1) : bisect_left(item.starts, end) + 1]
+    stops = [*own[1:], len(item.letters)]
+    return sum(1 for a, b in zip(own, stops, strict=True) if 2 * (min(b, end) - max(a, begin)) > b - a)
 
 
 def leaked_words(page: Page, found: list[tuple[int, int, int]], item: Item) -> int:
@@ -355,14 +390,20 @@ class Index:
             return None
         mine = np.array(list(least))
         size = np.array([len(self.items[k].letters) for k in mine])
-        begin = np.cumsum(size + PAD) - size - PAD  # of each item on one line of all letters
+        begin = np.cumsum(size + PAD) - size  # of each item on one line of all letters
+        line = np.full(int(begin[-1] + size[-1] + PAD), -1, dtype=np.int32)  # what lies between equals nothing on a page
+        for k, b in zip(mine, begin, strict=True):
+            line[b : b + len(self.items[k].letters)] = self.items[k].letters
         h = [hashes(self.items[k].letters, TILE[by_char]) for k in mine]
         place = np.concatenate([b + np.arange(len(x)) for b, x in zip(begin, h, strict=True)])
         h = np.concatenate(h)
-        order = np.argsort(h, kind="stable")
+        order = np.lexsort((line[place - 1], h))  # by hash, and by the letter before
+        place = place[order]
         h, first, n = np.unique(h[order], return_index=True, return_counts=True)
-        slots = np.searchsorted(h >> np.uint64(44), np.arange((1 << 20) + 1, dtype=np.uint64))
-        return h, first, n, place[order], slots, mine, begin, np.array(list(least.values()))
+        led, led_first, led_n = np.unique(np.repeat(np.arange(len(h)), n) * LED + line[place - 1], return_index=True, return_counts=True)
+        slots = np.searchsorted(h >> np.uint64(44), np.arange((1 << 20) + 1, dtype=np.uint64)).astype(np.int32)
+        owner = np.repeat(np.arange(len(mine)), size + PAD)  # of each place on the line, but for the last blank ones
+        return h, first, n, place, slots, mine, begin, np.array(list(least.values())), _doubled(line), owner, led, led_first, led_n
 
     def pairs(self, pages: list[Page]) -> list[tuple[int, int, list[tuple[int, int, int]]]]:
         """(page, item, matches) of every pair that may have a chain of the least length: no other pair can.
@@ -378,14 +419,15 @@ class Index:
         line = np.zeros(int(offsets[-1] + lengths[-1] + PAD), dtype=pages[0].letters.dtype)
         for p, x in zip(pages, offsets, strict=True):
             line[x : x + len(p.letters)] = p.letters
+        doubled = _doubled(line)
         marks = np.concatenate([x + np.array(p.segments) for p, x in zip(pages, offsets, strict=True)])
         for by_char, side in enumerate(self.sides):
             if side is not None:
-                self._linked(out, by_char, side, line, marks, offsets)
+                self._linked(out, by_char, side, line, doubled, marks, offsets)
         return out
 
-    def _linked(self, out: list, by_char: int, side: tuple, line: np.ndarray, marks: np.ndarray, offsets: np.ndarray) -> None:
-        h, first, count, place, slots, mine, begin, least = side
+    def _linked(self, out: list, by_char: int, side: tuple, line: np.ndarray, doubled: list[np.ndarray], marks: np.ndarray, offsets: np.ndarray) -> None:
+        h, first, count, place, slots, mine, begin, least, letters, owner, led, led_first, led_n = side
         own = hashes(line, TILE[by_char])
         slot = (own >> np.uint64(44)).astype(np.int64)
         low, high = slots[slot], slots[slot + 1]
@@ -399,32 +441,37 @@ class Index:
         at, low = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (at, low)
         if not len(at):
             return
-        n = count[low]
-        of = place[np.repeat(first[low] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        at = np.repeat(at, n)
-        width = len(line) + PAD
-        key = (of - at + width) * width + at
-        key.sort()
-        new = np.flatnonzero(np.r_[True, np.diff(key) != 1])
-        size = np.diff(np.r_[new, len(key)]) + TILE[by_char] - 1
-        diagonal, d0 = np.divmod(key[new], width)
-        i0 = diagonal + d0 - width
+        # of the places with these letters, all but those with the same letter before, where a match only goes on
+        wanted = low.astype(np.int64) * LED + line[at - 1]
+        k = np.minimum(np.searchsorted(led, wanted), len(led) - 1)
+        same = np.where(led[k] == wanted, led_n[k], 0)
+        n = count[low] - same
+        some = np.flatnonzero(n)
+        at, low, k, same, n = at[some], low[some], k[some], same[some], n[some]
+        run = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        i0 = place[np.repeat(first[low], n) + run + np.where(run >= np.repeat(np.where(same > 0, led_first[k] - first[low], len(place)), n), np.repeat(same, n), 0)]
+        d0 = np.repeat(at, n)
+        size = _lengths(doubled, letters, d0, i0, TILE[by_char])
         items = len(mine)
-        item = np.searchsorted(begin, i0, "right") - 1
-        whose = (np.searchsorted(offsets, d0, "right") - 1) * items + item
+        item = owner[i0]
+        whose = np.repeat(np.arange(len(offsets)), np.diff(np.r_[offsets, len(line)]))[d0 - PAD] * items + item
         # what cannot be enough even if every match were joined to another
-        some = np.bincount(whose, size + GAP, len(offsets) * items)[whose] >= COVERAGE * least[item]
-        order = np.flatnonzero(some)
+        order = np.flatnonzero(np.bincount(whose, size + GAP, len(offsets) * items)[whose] >= COVERAGE * least[item])
         if not len(order):
             return
-        order = order[np.argsort(whose[order], kind="stable")]  # by pair, diagonal, place
-        d0, size, whose, item = d0[order], size[order], whose[order], item[order]
-        i0 = i0[order] - begin[item]
-        d1, i1, shift = d0 + size, i0 + size, d0 - i0
-
-        near = []  # two matches of a pair whose diagonals differ by at most 3
-        for k in range(1, len(whose)):
-            a = np.flatnonzero((whose[k:] == whose[:-k]) & (np.abs(shift[k:] - shift[:-k]) <= 3))
+        d0, i0, size, whose, item = d0[order], i0[order] - begin[item[order]], size[order], whose[order], item[order]
+        shift = d0 - i0
+        lowest = int(shift.min())
+        key = whose * (int(shift.max()) - lowest + 4) + (shift - lowest)
+        order = _order(key)  # by pair and diagonal
+        key, d0, i0, size, whose, item, shift = (x[order] for x in (key, d0, i0, size, whose, item, shift))
+        d1, i1, need = d0 + size, i0 + size, least[item]
+
+        near, a, k = [], np.arange(len(key)), 0  # two matches of a pair whose diagonals differ by at most 3
+        while True:
+            k += 1
+            a = a[: np.searchsorted(a, len(key) - k)]
+            a = a[key[a + k] - key[a] <= 3]
             if not len(a):
                 break
             near.append(np.stack([a, a + k]))
@@ -432,42 +479,124 @@ class Index:
         may_join = (np.maximum(d0[a], d0[b]) - np.minimum(d1[a], d1[b]) <= GAP) & (np.maximum(i0[a], i0[b]) - np.minimum(i1[a], i1[b]) <= GAP)
         group = _components(len(whose), a[may_join], b[may_join])
         g0, g1 = _over(group, d0, d1)
+        h0, h1 = _over(group, i0, i1)
         close = (g0[b] <= g1[a] + 4) & (g0[a] <= g1[b] + 4)
         a, b = a[close], b[close]
 
         # turns: a segment's end under or behind one group, a segment's start under or before another, at the same place of the item
-        low, high = np.searchsorted(marks, g0 - EDGE), np.searchsorted(marks, g1 + EDGE, "right")
-        n = high - low
+        before = np.r_[0, np.cumsum(np.bincount(marks, minlength=len(line)))]
+        low, high = before[g0 - EDGE], before[g1 + EDGE + 1]
+        linked = (low < high) | (size >= COVERAGE * need)
+        linked[a] = linked[b] = True
+        some = np.flatnonzero(linked)  # nothing else can be linked to anything
+        some = some[_dense(whose[some], h0[some], h1[some], need[some])]
+        if not len(some):
+            return
+        number = np.full(len(whose), -1)
+        number[some] = np.arange(len(some))
+        a, b = number[a], number[b]
+        a, b = a[(a >= 0) & (b >= 0)], b[(a >= 0) & (b >= 0)]
+        low, n = low[some], high[some] - low[some]
         run = np.repeat(np.arange(len(n)), n)
         mark_no = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
         m = marks[mark_no]
-        spot = m - shift[run] + PAD + 4 * EDGE
-        ends, starts = m > g0[run], m < g1[run]
-        stride = int(spot.max(initial=0) - min(0, spot.min(initial=0))) + 8
-        base = spot - min(0, int(spot.min(initial=0))) + 4
-        order = np.flatnonzero(starts)
-        order = order[np.argsort(whose[run[order]] * stride + base[order], kind="stable")]
-        keys = whose[run[order]] * stride + base[order]
-        e = np.flatnonzero(ends)
-        wanted = whose[run[e]] * stride + base[e]
-        low, high = np.searchsorted(keys, wanted - 2), np.searchsorted(keys, wanted + 2, "right")
-        n = high - low
-        e, s = np.repeat(e, n), order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        spot = m - shift[some][run]
+        base = spot - int(spot.min(initial=0)) + 4
+        base += whose[some][run] * (int(base.max(initial=0)) + 4)
+        starts, ends = np.flatnonzero(m < g1[some][run]), np.flatnonzero(m > g0[some][run])
+        starts = starts[_order(base[starts])]
+        keys, wanted = base[starts], base[ends]
+        low = np.searchsorted(keys, wanted - 2)
+        n = np.searchsorted(keys, wanted + 2, "right") - low
+        e, s = np.repeat(ends, n), starts[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
         on = mark_no[s] - mark_no[e]
-        wide = (g1 - g0) >= (8 if by_char else 24)
+        wide = (g1 - g0)[some] >= (8 if by_char else 24)
         linked = ((on >= 0) & (on < REACH)) | (wide[run[e]] & wide[run[s]])
         linked &= run[e] != run[s]
-        a, b = np.r_[a, run[e[linked]]], np.r_[b, run[s[linked]]]
+        chain = _components(len(some), np.r_[a, run[e[linked]]], np.r_[b, run[s[linked]]])
+        kept = some[_dense(chain, h0[some], h1[some], need[some])]
+        if not len(kept):
+            return
+
+        # of each pair that is kept, what is kept and all that shares letters of the page with it, or with what does
+        pair, is_kept = np.zeros(len(offsets) * items, dtype=bool), np.zeros(len(whose), dtype=bool)
+        pair[whose[kept]] = is_kept[kept] = True
+        own = np.flatnonzero(pair[whose])
+        own = own[np.lexsort((g0[own], whose[own]))]
+        w = whose[own] * (len(line) + 1)
+        reach = np.maximum.accumulate(w + g1[own])
+        part = np.cumsum(np.r_[0, w[1:] + g0[own][1:] >= reach[:-1]])
+        own = own[np.bincount(part, is_kept[own])[part] > 0]
+        cuts = np.flatnonzero(np.r_[True, np.diff(whose[own]) != 0, True]).tolist()
+        for x, y in zip(cuts, cuts[1:]):
+            page, k = divmod(int(whose[own[x]]), items)
+            mine_here = own[x:y]
+            out.append((page, int(mine[k]), list(zip((d0[mine_here] - offsets[page]).tolist(), i0[mine_here].tolist(), size[mine_here].tolist(), strict=True))))
+
+
+def _order(key: np.ndarray) -> np.ndarray:
+    """What sorts numbers from 0 on, in their order where they are equal."""
+    bits = len(key).bit_length()
+    if int(key.max(initial=0)) >= 1 << (62 - bits):
+        return np.argsort(key, kind="stable")
+    packed = (key << bits) | np.arange(len(key))
+    packed.sort()  # several times as fast as argsort
+    return packed & ((1 << bits) - 1)
+
+
+def _doubled(letters: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the 8, 4, 2 and 1 letters from each place on; fewer at the end, where nothing is the same on two lines."""
+    out, factor = [letters.astype(np.uint64)], _MULTIPLIER
+    for step in (1, 2, 4):
+        longer = out[0] * factor
+        longer[:-step] += out[0][step:]
+        out.insert(0, longer)
+        with np.errstate(over="ignore"):
+            factor = factor * factor
+    return out
 
-        _, number = np.unique(group, return_inverse=True)
-        chain = _components(int(number.max()) + 1, number[a], number[b])[number]
-        c0, c1 = _over(chain, i0, i1)
-        covers = np.bincount(chain, size + GAP * (np.bincount(group, minlength=len(group))[group] > 1))[chain]
-        kept = (c1 - c0 >= least[item]) & (covers >= COVERAGE * least[item])
-        for w in np.unique(whose[kept]).tolist():
-            x, y = np.searchsorted(whose, w), np.searchsorted(whose, w, "right")
-            page = w // items
-            out.append((page, int(mine[w % items]), list(zip((d0[x:y] - offsets[page]).tolist(), i0[x:y].tolist(), size[x:y].tolist(), strict=True))))
+
+def _lengths(line: list[np.ndarray], letters: list[np.ndarray], d0: np.ndarray, i0: np.ndarray, tile: int) -> np.ndarray:
+    """How far what begins at d0 of one line and i0 of the other, and is the same for a tile, stays the same; lines as `_doubled` gives them."""
+    size, live = np.full(len(d0), tile), np.arange(len(d0))
+    d, i = d0 + tile, i0 + tile
+    while len(live):
+        same = np.flatnonzero(line[0][d] == letters[0][i])
+        live, d, i = live[same], d[same] + 8, i[same] + 8
+        size[live] += 8
+    d, i = d0 + size, i0 + size
+    for step, x, y in zip((4, 2, 1), line[1:], letters[1:], strict=True):
+        more = (x[d] == y[i]) * step
+        d, i = d + more, i + more
+    return d - d0
+
+
+def _dense(owner: np.ndarray, begins: np.ndarray, ends: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Of each stretch of an item, whether its owner's stretches cover COVERAGE of some span of the least length.
+
+    The letters under a chain of tiles lie in such stretches, its first and last one too, so no other owner has a chain that counts.
+    A span loses nothing if it takes in the whole of the stretches in which it starts and ends: only starts and ends are tried.
+    """
+    covers = np.flatnonzero(np.bincount(owner, ends - begins)[owner] >= COVERAGE * least)  # else not even if none overlap
+    out = np.zeros(len(owner), dtype=bool)
+    if not len(covers):
+        return out
+    owner, begins, ends, least = owner[covers], begins[covers], ends[covers], least[covers]
+    width = 2 * int(ends.max()) + int(least.max()) + 2  # owners on one line, so far apart that no span reaches over two
+    key = owner * width + begins
+    order = _order(key)
+    key, own, least = key[order], owner[order], least[order]
+    reach = np.maximum.accumulate(own * width + ends[order])
+    first = np.flatnonzero(np.r_[True, key[1:] > reach[:-1]])
+    start, stop, own, least = key[first], reach[np.r_[first[1:], len(key)] - 1], own[first], least[first]
+    under = np.cumsum(stop - start)
+    lowest = np.minimum.accumulate(under - (stop - start) - COVERAGE * start)  # falls from each owner to the next
+    far = np.searchsorted(start, stop - least, "right") - 1  # the last start that is far enough behind
+    enough = (far >= 0) & (own[far] == own) & (under - COVERAGE * stop - lowest[far] >= -0.01)
+    some = np.zeros(int(owner.max()) + 1, dtype=bool)
+    some[own[enough]] = True
+    out[covers] = some[owner]
+    return out
 
 
 def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -486,10 +615,11 @@ def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _over(group: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The least begin and the greatest end in each one's group."""
-    low, high = np.full(len(group), np.iinfo(np.int64).max), np.zeros(len(group), dtype=np.int64)
-    np.minimum.at(low, group, begins)
-    np.maximum.at(high, group, ends)
+    """The least begin and the greatest end in each one's group, which is named by its first."""
+    low, high = begins.copy(), ends.copy()
+    rest = np.flatnonzero(group != np.arange(len(group)))
+    np.minimum.at(low, group[rest], begins[rest])
+    np.maximum.at(high, group[rest], ends[rest])
     return low[group], high[group]
 
 
@@ -504,10 +634,11 @@ def search(index: Index, texts: list[str | None]) -> list[list[tuple[int, int, b
             held.append((t, page))
             letters += len(page.letters)
         if held and (letters >= LETTERS or len(held) >= most or t == len(texts) - 1):
-            for p, k, found in index.pairs([page for _, page in held]):
-                item = index.items[k]
-                if n := leaked_words(held[p][1], found, item):
-                    out[held[p][0]].append((item.item_id, n, item.unspaced))
+            pairs = [(held[p], index.items[k], found) for p, k, found in index.pairs([page for _, page in held])]
+            jobs = [(mark(joined(found, page, item), TILE[item.unspaced], len(page.letters)), page, item) for (_, page), item, found in pairs]
+            for ((at, _), item, _), (begin, end, _, _) in zip(pairs, all_chains(jobs), strict=True):
+                if n := words_under(item, begin, end):
+                    out[at].append((item.item_id, n, item.unspaced))
             held, letters = [], 0
     return out
 

@@ -274,6 +274,53 @@ def test_matches_are_maximal():
     assert found == [(2, 0, 16)]
 
 
+def test_only_what_may_count_is_tiled():
+    rng = random.Random(31)
+    item = leakage.make_item(1, _passage(rng, 40))
+    words, other = item_words(31), [_passage(random.Random(40 + k), 6) for k in range(4)]
+    page = "\n".join([other[0], " ".join(words[5:30]), other[1], other[2] + " " + " ".join(words[33:36]) + " xxzxx " + other[3]])
+    held = leakage.make_page(page)
+    [(_, _, found)] = leakage.Index([item]).pairs([held])
+    every = leakage.matches(held, leakage.hashes(held.letters, 6), item)
+    assert set(found) < set(every)
+    assert leakage.leaked_words(held, found, item) == leakage.leaked_words(held, every, item) >= 25
+
+
+def item_words(seed):
+    return _passage(random.Random(seed), 40).split()
+
+
+def test_dense_spans_against_all_spans():
+    import numpy as np
+
+    rng = random.Random(7)
+    seen = set()
+    for _ in range(300):
+        rows = [(o, b, b + rng.randrange(1, 14), 20 + o % 3) for o in range(6) for b in (rng.randrange(80) for _ in range(rng.randrange(1, 10)))]
+        rng.shuffle(rows)
+        got = leakage._dense(*(np.array(x) for x in zip(*rows, strict=True)))
+        want = {}
+        for o in range(6):
+            under = [any(b <= x < e for q, b, e, _ in rows if q == o) for x in range(100)]
+            want[o] = any(under[b] and under[e - 1] and 20 * sum(under[b:e]) >= 17 * (e - b) for b in range(100) for e in range(b + 20 + o % 3, 101))
+        seen |= set(want.values())
+        assert got.tolist() == [want[r[0]] for r in rows]
+    assert seen == {True, False}
+
+
+def test_chains_of_many_pairs_are_those_of_each():
+    rng = random.Random(17)
+    jobs = []
+    for n in range(12):
+        item = leakage.make_item(n, _passage(rng, 40))
+        words = item_words(1000 + n) if n == 5 else "".join(chr(c) for c in item.letters)
+        page = leakage.make_page("\n".join(words[a : a + 30] for a in rng.sample(range(0, 150, 25), 6))) if n != 5 else leakage.make_page(" ".join(words))
+        found = leakage.matches(page, leakage.hashes(page.letters, 6), item)
+        jobs.append((leakage.mark(leakage.joined(found, page, item), 6, len(page.letters)), page, item))
+    jobs.append(([], *jobs[0][1:]))
+    assert list(leakage.all_chains(jobs)) == [leakage.chains(*job) for job in jobs] and leakage.chains(*jobs[-1]) == (0, 0, 0, [])
+
+
 # ---- sentences
 EN = "The wagon was sold on Aug. 11. Why did Dr. Holt leave at 9.30 p.m. yesterday? “It was late! We all left,” said Mr. Lane. No one saw the old bridge again."
 
