@@ -12,6 +12,7 @@ is done for whole texts of all documents.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -65,7 +66,7 @@ class Segment:
     x0: int
     following: int = -1
     short: bool = False
-    caps: bool = False
+    caps: bool | None = None
     rule: bool = False
 
 
@@ -79,22 +80,21 @@ class Candidate:
     prior: float = 0.0
 
 
+_SCRIPTS = ((0x400, 0x500, "cyr"), (0x600, 0x700, "ar"), (0x900, 0x980, "hi"), (0xE00, 0xE80, "th"), (0x3040, 0x3100, "cjk"), (0x3400, 0xA000, "cjk"))
+
+
 def script_of(text: str) -> str:
+    chars = text[:: max(1, len(text) // 150)]
+    if not chars or max(chars) < "\u0400":
+        return "lat" if any(map(str.isalpha, chars)) else "th"
+    chars, at = sorted(chars), 0
     counts = {"th": 0, "cjk": 0, "hi": 0, "ar": 0, "cyr": 0, "lat": 0}
-    for ch in text[:: max(1, len(text) // 150)]:
-        c = ord(ch)
-        if 0xE00 <= c < 0xE80:
-            counts["th"] += 1
-        elif 0x3040 <= c < 0x3100 or 0x3400 <= c < 0xA000:
-            counts["cjk"] += 1
-        elif 0x900 <= c < 0x980:
-            counts["hi"] += 1
-        elif 0x600 <= c < 0x700:
-            counts["ar"] += 1
-        elif 0x400 <= c < 0x500:
-            counts["cyr"] += 1
-        elif ch.isalpha():
-            counts["lat"] += 1
+    for low, high, script in _SCRIPTS:
+        begin = bisect_left(chars, chr(low), at)
+        counts["lat"] += sum(map(str.isalpha, chars[at:begin]))
+        at = bisect_left(chars, chr(high), begin)
+        counts[script] += at - begin
+    counts["lat"] += sum(map(str.isalpha, chars[at:]))
     return max(counts, key=lambda k: (counts[k], k))
 
 
@@ -110,9 +110,13 @@ def segments_of(text: str, boxes) -> list[Segment]:
     out: list[Segment] = []
     at = 0
     lines = text.split("\n")
-    gaps = sum(1 for line in lines if _GAP.search(line.strip()))
+    bare = [line.strip() for line in lines]
+    gaps = sum(1 for line in bare if "  " in line or " | " in line or "\t" in line)  # as _GAP finds them
     columns = gaps >= 3 and 4 * gaps >= len(lines)  # else wide blanks are no columns
     for n, line in enumerate(lines):
+        if not columns and not bare[n]:
+            at += len(line) + 1
+            continue
         x0 = -1
         if boxes is not None and n < len(boxes) and boxes[n] is not None and boxes[n]["x0"] is not None:
             x0 = int(boxes[n]["x0"])
@@ -128,21 +132,27 @@ def segments_of(text: str, boxes) -> list[Segment]:
     waiting: dict[tuple[int, int], int] = {}
     longest: dict[tuple[int, int], int] = {}
     for k, s in enumerate(out):
-        words = text[s.start : s.end]
-        s.rule = bool(_RULE.match(words))
-        s.caps = _is_caps(words)
+        s.rule = not text[s.start].isalnum() and bool(_RULE.match(text[s.start : s.end]))
         spot = (s.column, round(s.x0 / 150) if s.x0 >= 0 else -1) if s.column == 0 else (s.column, 0)
         if not s.rule:
             if spot in waiting:
                 out[waiting[spot]].following = k
             waiting[spot] = k
-        longest[spot] = max(longest.get(spot, 0), s.end - s.start)
+        if s.end - s.start > longest.get(spot, 0):
+            longest[spot] = s.end - s.start
         s.column = spot  # type: ignore[assignment]
     for s in out:
         s.short = (s.end - s.start) < 0.72 * longest[s.column]  # type: ignore[index]
     return out
 
 
+def _in_caps(text: str, s: Segment) -> bool:
+    """Whether a segment is in capitals; looked at only where it is asked for."""
+    if s.caps is None:
+        s.caps = _is_caps(text[s.start : s.end])
+    return s.caps
+
+
 def _case(ch: str) -> str:
     return "U" if ch.isupper() else "l" if ch.islower() else "d" if ch.isdigit() else "o" if ch.isalpha() else "m" if ch else ""
 
@@ -201,50 +211,81 @@ def _line_end(text: str, words: str, segments: list[Segment], k: int, script: st
     s = segments[k]
     nxt = segments[s.following] if s.following >= 0 else None
     cased, last = script in ("lat", "cyr"), script == "th" and k == len(segments) - 1
-    if not (s.caps or s.short or last) or (not s.caps and words[-1] in "-=¬‐­,;:–—"):
+    caps = _in_caps(text, s)
+    if not (caps or s.short or last) or (not caps and words[-1] in "-=¬‐­,;:–—"):
         return None
     lead = text[nxt.start : nxt.start + 40].lstrip(OPENERS + " ")[:1] if nxt is not None else ""
     place = "n" if nxt is None else "s" if nxt.line == s.line else "f" if nxt.line == s.line + 1 else "o"
     nc, tail, brief = _case(lead), _case(words[-1]), len(words) <= 3
-    if s.caps:
-        plain = not (nxt is not None and nxt.caps and place == "f" and not s.short)
-        state = f"C{nxt is not None and nxt.caps}{place}{s.short}"
+    if caps:
+        more = nxt is not None and _in_caps(text, nxt)
+        plain = not (more and place == "f" and not s.short)
+        state = f"C{more}{place}{s.short}"
     elif cased:
         plain = (nxt is None or (lead.isupper() and place != "s")) and words[-1].isalpha() and not brief
         state = f"L{place}{nc}{tail}{brief}"
     else:
         plain = last or place != "s"
         state = f"O{last}{place}"
-    names = ("Eb", f"E{state}", f"E{state}{script}", f"Es{script}{s.short}{s.caps}", f"Ew{min(words.count(' '), 8)}{cased}", f"El{min(len(words) // 8, 9)}{cased}", f"En{nc}{cased}", f"Et{tail}{cased}")
+    names = ("Eb", f"E{state}", f"E{state}{script}", f"Es{script}{s.short}{caps}", f"Ew{min(words.count(' '), 8)}{cased}", f"El{min(len(words) // 8, 9)}{cased}", f"En{nc}{cased}", f"Et{tail}{cased}")
     return _end(s.end - 1, names, plain)
 
 
+#: Features of marks but those of the words beside them, by the state that they are taken from.
+_FIXED: dict[tuple, tuple[int, ...]] = {}
+
+
+def _fixed(*state) -> tuple[int, ...]:
+    mark, q, script, nc, pc, size, inner, dash, initial, glued, speech, short, eol, first, ordinal, brief = state
+    group, e = "s" if mark in PLAIN_ENDS else ".", "e" if eol else "i"
+    names = (
+        "bias" + group + q,
+        f"m{mark}{q}{script}" if mark != "," else f"m.{q}{script}",
+        f"c{pc}{nc}{group}{q}{e}",
+        f"l{size}{pc}{nc}{group}{q}",
+        f"i{inner}{nc}{group}",
+        f"d{dash}{nc}{q}",
+        f"t{initial}{group}",
+        f"g{glued}{nc}{group}",
+        f"s{speech}{nc}{script}",
+        f"h{short}{eol}{group}{q}",
+        f"b{first}{pc}{nc}{group}{q}",
+        f"b{first}{size}{pc}{inner}{group}",
+        f"o{ordinal}{brief}{group}",
+    )
+    if len(_FIXED) >= 50_000:
+        _FIXED.clear()
+    _FIXED[state] = out = tuple(crc32(x.encode()) & MASK for x in names)
+    return out
+
+
 def _mark(text: str, words: str, segments: list[Segment], k: int, m: re.Match, script: str, starters: frozenset[str], followers: frozenset[str], plain: bool) -> Candidate | None:
     s = segments[k]
     run = m.group()
     comma = run[0] == ","
-    marks = run[0] if comma else run[: len(run) - len(run.lstrip(ENDS))]
-    closers = run[len(marks) :].strip()
-    if not comma and len(marks) > 1 and not any(c in PLAIN_ENDS for c in marks):
-        return None  # an ellipsis
-    mark = "," if comma else next((c for c in marks if c in PLAIN_ENDS), marks[-1])
-    before, behind = words[max(0, m.start() - NEAR) : m.start()], words[m.end() : m.end() + NEAR]
-    if not behind.strip():
-        behind = words[m.end() :]
-    glued = bool(behind) and not behind[0].isspace()
-    here = behind.strip()
+    if len(run) == 1:
+        mark, closers = run, ""
+    else:
+        marks = run[0] if comma else run[: len(run) - len(run.lstrip(ENDS))]
+        closers = run[len(marks) :].strip()
+        if not comma and len(marks) > 1 and not any(c in PLAIN_ENDS for c in marks):
+            return None  # an ellipsis
+        mark = "," if comma else next((c for c in marks if c in PLAIN_ENDS), marks[-1])
+    at, end = m.span()
+    here = words[end : end + NEAR].strip() or words[end:].strip()
     eol = not here
-    if comma and not starters:
+    if plain and not eol and not comma and script in ("lat", "cyr") and mark not in PLAIN_ENDS and (here[0].islower() or here[0].isdigit()):
+        return None
+    if comma and not (starters and here.lstrip(OPENERS + " ")[:1].isupper()):
         return None
+    glued = end < len(words) and not words[end].isspace()
     if len(here) < 30:
         here = (here + " " + _joined_next(text, segments, k)).strip()
-    prev = before[-24:]
+    prev = words[max(0, at - 24) : at]
     tail = prev[-1:]
     if mark not in PLAIN_ENDS:
         if eol and here[:2] in ("..", "·.", ".·") or here[:1] == "…":
             return None
-        if plain and not eol and not comma and script in ("lat", "cyr") and (here[:1].islower() or here[:1].isdigit()):
-            return None
         if tail.isdigit() and here[:1].isdigit() and glued and not eol:
             return None
         if script == "cjk" and not closers and tail.isascii():
@@ -267,9 +308,12 @@ def _mark(text: str, words: str, segments: list[Segment], k: int, m: re.Match, s
     initial = len(nw) == 1 and nw.isupper() and lead[1:2] == "."
     pw = prev[max(prev.rfind(" "), prev.rfind("\n")) + 1 :].strip(OPENERS + "()[]")
     inner = "." in pw[:-1] if pw else False
-    letters = _WORD.findall(pw)
-    last = letters[-1] if letters else pw
-    if k > 0 and not before.strip() and not words[: m.start()].strip():
+    if pw.isalnum():
+        last = pw
+    else:
+        letters = _WORD.findall(pw)
+        last = letters[-1] if letters else pw
+    if k > 0 and not prev.strip() and not words[:at].strip():
         last = ""
     pc = _case(last[:1])
     if comma and pc != "l":
@@ -288,31 +332,17 @@ def _mark(text: str, words: str, segments: list[Segment], k: int, m: re.Match, s
         stop = max(words.rfind(x, 0, m.start()) for x in (". ", "! ", "? ", "” ", '" '))
         brief = stop >= 0 and len(words[stop + 2 : m.start()].split()) <= 3
     q = "q" if closers else "-"
-    e = "e" if eol else "i"
+    state = (mark, q, script, nc, pc, size, inner, dash, initial, glued, speech, s.short, eol, first, ordinal, brief)
+    fixed = _FIXED.get(state)
+    if fixed is None:
+        fixed = _fixed(*state)
     group = "s" if mark in PLAIN_ENDS else "."
-    names = (
-        "bias" + group + q,
-        f"m{mark}{q}{script}" if not comma else f"m.{q}{script}",
-        f"p{last.lower()}{group}{q}",
-        f"n{nw.lower()[:10]}{nc}{q}",
-        f"c{pc}{nc}{group}{q}{e}",
-        f"l{size}{pc}{nc}{group}{q}",
-        f"i{inner}{nc}{group}",
-        f"d{dash}{nc}{q}",
-        f"t{initial}{group}",
-        f"g{glued}{nc}{group}",
-        f"s{speech}{nc}{script}",
-        f"h{s.short}{eol}{group}{q}",
-        f"b{first}{pc}{nc}{group}{q}",
-        f"b{first}{size}{pc}{inner}{group}",
-        f"o{ordinal}{brief}{group}",
-    )
-    c = Candidate(s.start + m.end() - 1, [crc32(x.encode()) & MASK for x in names])
+    c = Candidate(s.start + end - 1, [fixed[0], fixed[1], crc32(f"p{last.lower()}{group}{q}".encode()) & MASK, crc32(f"n{nw.lower()[:10]}{nc}{q}".encode()) & MASK, *fixed[2:]])
     c.kind = "comma" if comma else "mark"
     c.opens = nw if nc == "U" and group == "s" and not closers else ""
     nextish = not eol
     cased = script in ("lat", "cyr")
-    if comma:
+    if comma or plain:  # no label is asked for
         return c
     if cased:
         if group == "." and (ordinal or brief):
@@ -388,7 +418,7 @@ def fit(found: list[Candidate], rounds: int = 120, rate: float = 0.5, decay: flo
 
 def openings(text: str, boxes) -> list[str]:
     """Capitalised words that follow ! and ?, as `opens` of all candidates of a text, without judging the rest."""
-    if not _PLAIN_END.search(text):
+    if (text + "a").islower() or not _PLAIN_END.search(text):  # no capital anywhere
         return []
     segments, out = segments_of(text, boxes), []
     for k, s in enumerate(segments):
@@ -421,6 +451,8 @@ def count_words(texts) -> tuple[Counter, Counter, Counter, Counter]:
     opening, inside, behind, capitals = Counter(), Counter(), Counter(), Counter()
     for text, boxes in texts:
         opening.update(openings(text, boxes))
+        if (text + "a").islower():  # no capital anywhere
+            continue
         inside.update(_INNER_CAPITAL.findall(text))
         behind.update(_AFTER_ORDINAL.findall(text))
         capitals.update(_CAPITAL.findall(text))

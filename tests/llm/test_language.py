@@ -417,3 +417,39 @@ def test_marking_searches_again_what_is_left_of_a_match():
     # the longest first; the next overlaps it in the middle and is tiled on both sides of it
     assert sorted(leakage.mark([(10, 30, 50, 70), (0, 19, 100, 119), (25, 45, 200, 220), (5, 12, 0, 7)], 5, 60)) == [(0, 10, 100, 110), (10, 30, 50, 70), (30, 45, 205, 220)]
     assert sorted(leakage.mark([(10, 40, 50, 80), (0, 60, 100, 130)], 5, 60)) == [(0, 60, 100, 130)]
+
+
+def test_pages_without_capitals_are_not_cut_for_openings(monkeypatch):
+    texts = ["世界は広い。そうですか？はい！\n" * 3, "it was late! we left. why? nobody knew", "यह घर है। वह कौन है? हाँ!"]
+    assert [sentences.openings(t, None) for t in texts] == [[], [], []]
+    assert sentences.openings("是的我们都在这里！Anna 走了。", None) == ["A"]  # one letter, as in Han
+    monkeypatch.setattr(sentences, "segments_of", None)
+    assert [sentences.openings(t, None) for t in texts] == [[], [], []]
+
+
+def test_script_by_every_letter():
+    def counted(text):
+        n = dict.fromkeys(("th", "cjk", "hi", "ar", "cyr", "lat"), 0)
+        spans = {"th": [(0xE00, 0xE80)], "cjk": [(0x3040, 0x3100), (0x3400, 0xA000)], "hi": [(0x900, 0x980)], "ar": [(0x600, 0x700)], "cyr": [(0x400, 0x500)]}
+        for ch in text[:: max(1, len(text) // 150)]:
+            k = next((k for k, v in spans.items() if any(a <= ord(ch) < b for a, b in v)), "lat" if ch.isalpha() else None)
+            if k:
+                n[k] += 1
+        return max(n, key=lambda k: (n[k], k))
+
+    rng = random.Random(2)
+    edges = [c + d for c in (0x400, 0x500, 0x600, 0x700, 0x900, 0x980, 0xE00, 0xE80, 0x3040, 0x3100, 0x3400, 0xA000, 0x20000, 0x41, 0xE0) for d in (-1, 0, 1, 9)]
+    for _ in range(400):
+        text = "".join(chr(rng.choice(rng.sample(edges, 3))) for _ in range(rng.randrange(0, 500)))
+        assert sentences.script_of(text) == counted(text)
+    assert [sentences.script_of(t) for t in ("", "12 .", "abc", "é", "дом", "ไทย")] == ["th", "th", "lat", "lat", "cyr", "th"]
+
+
+def test_marks_that_are_scored_get_no_label_and_the_same_features(model):
+    texts = [EN, EN.replace(" ", "\n"), "A B! c. D 3. x? “Why?” he said, The end", "THE NEWS\nIt was sold. THE END."]
+    for text in texts:
+        every = sentences.candidates(text, None, model.starters, model.followers)
+        scored = sentences.candidates(text, None, model.starters, model.followers, True)
+        features = {(c.end, c.kind): c.features for c in every}
+        assert scored and all(features[c.end, c.kind] == c.features for c in scored)
+        assert all(c.label == -1 for c in scored if c.kind != "end") and any(c.label >= 0 for c in every if c.kind == "mark")
